@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm import mixing, quality_rules
+from vantor.llm import mixing, quality_rules, warc
 from vantor.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantor.llm.toxicity import score_toxicity
+
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantor.llm.warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantor.llm.sharding import shard_table
 
@@ -43,5 +55,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_decontaminate, op5_mixing, op8_quality_classifier, op9_quality_rules, op10_simhash_dedup)}
-ORACLE_SQL = {"op5_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_sharding, op4_decontaminate, op5_mixing, op8_quality_classifier, op9_quality_rules, op10_simhash_dedup)}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
