@@ -37,6 +37,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantor.llm.line_dedup import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents")).drop("groups")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantor.llm.license_scan import scan
+
+    return scan(read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantor.llm.quality_classifier import classify
 
@@ -55,5 +67,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_sharding, op4_decontaminate, op5_mixing, op8_quality_classifier, op9_quality_rules, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_sharding, op4_decontaminate, op5_mixing, op6_line_dedup, op7_license_scan, op8_quality_classifier, op9_quality_rules, op10_simhash_dedup)}
 ORACLE_SQL = {"op2_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
