@@ -35,8 +35,8 @@ def _starts(padded: Column, pattern: Column) -> Column:
 
 
 def _phrase_places(padded: Column, phrase: str) -> Column:
-    pattern = F.lit(f"(?<= ){phrase}(?= )")
-    return F.when(F.contains(padded, F.lit(f" {phrase} ")), _starts(padded, pattern)).otherwise(F.array().cast("array<int>"))
+    pattern, none = F.lit(f"(?<= ){phrase}(?= )"), F.array().cast("array<int>")
+    return let(padded, lambda t: F.when(F.contains(t, F.lit(f" {phrase} ")), _starts(t, pattern)).otherwise(none))
 
 
 def _detections(padded: Column) -> Column:
@@ -84,7 +84,7 @@ def scan(docs: DataFrame) -> DataFrame:
     gated = reduce(or_, [F.contains(padded, F.lit(g)) for g in GATES])
     none = F.array().cast("array<struct<first:int,last:int,priority:int,label:string>>")
     found = F.when(gated, let(let(padded, _detections), _resolved)).otherwise(none)
-    places = [F.when(gated, let(padded, lambda t, p=p: _phrase_places(t, p))).otherwise(F.array().cast("array<int>")).alias(f"p{k}") for k, p in enumerate(PHRASES)]
+    places = [F.when(gated, _phrase_places(padded, p)).otherwise(F.array().cast("array<int>")).alias(f"p{k}") for k, p in enumerate(PHRASES)]
     rows = rows.select("doc_id", "n_words", found.alias("detections"), *places)
     all_places = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     base = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
