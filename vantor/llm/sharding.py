@@ -45,17 +45,17 @@ def communication_matrix(counts: list[int], quotas: list[int], rng: np.random.Ge
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, checksum: str | None = None) -> DataFrame:
     """docs with __shard and __slot: shards of sizes at most one apart, slots gapless from 0 in a random order.
 
     Rows are permuted within their block by a hash, the first ones go to shard 0, the next to shard 1, as the drawn
     matrix says, and are permuted again within the shard. Blocks and parts of shards are counted with partial
     aggregation; windows run within a block, or within a part of a shard. All hashes come from doc_id and text, so that
-    recomputed tasks and reruns agree. Null ids and texts are hashed like values; repeated rows are dealt one by one;
+    recomputed tasks and reruns agree; checksum names a column that stands for the text. Null ids and texts are hashed like values; repeated rows are dealt one by one;
     an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    crc = F.coalesce(F.crc32(F.col("text")), F.lit(-1))
+    crc = F.coalesce(F.crc32(F.col("text")), F.lit(-1)) if checksum is None else F.col(checksum)
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)).cast("int")
     counts = {r[0]: r[1] for r in docs.groupBy(block.alias("b")).count().collect()}  # BLOCKS rows at most
     order = sorted(counts)
@@ -83,10 +83,12 @@ def shard_table(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     size: UTF-8 bytes of the text plus 16; a null text has 16, and the checksum of no bytes.
     """
     text = F.coalesce("text", F.lit(""))
-    return shard(docs.select("doc_id", "text"), shards).select(
+    size = (F.octet_length(text) + 16).cast("long")
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    return shard(rows, shards, checksum="text_crc32").select(
         "doc_id",
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         F.col("__shard").cast("int").alias("shard"),
         F.col("__slot").alias("slot"),
