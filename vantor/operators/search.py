@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vantor.errors import InvalidArgument, ResourceExhausted
 from vantor.functions.distance import METRICS, distance, distance_matrix
@@ -81,7 +82,7 @@ def batch_vectors(column: pa.Array) -> np.ndarray:
 
 def _scored(rows: DataFrame, ids: list, q: np.ndarray, limit: int, metric: str, id_col: str, vector_col: str, queries: DataFrame) -> DataFrame:
     kind, query_kind = (rows.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString())
-    query_ids = pa.array(ids)
+    query_ids = pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,639 @@
-"""Queries over the driver's tables, with the SQL that gives the same rows."""
+"""Queries over the driver's tables, with the SQL that gives the same rows.
+
+`embeddings` is the collection (id vec_id, metadata label); every row whose id is divisible by 50 is a query against
+all rows. `events` is a change log: id user_id, sequence event_id, a tombstone where event_type is 'error'.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vantor.functions.distance import l2_normalize
+from vantor.functions.filters import compile_filter
+from vantor.operators import analysis, cluster, graph, mutations, quantize, search, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+K = 10
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _base(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return _base(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _knn(spark: SparkSession, d: str, metric: str, where: dict | None = None, limit: int = K, rows: DataFrame | None = None) -> DataFrame:
+    base = _base(spark, d) if rows is None else rows
+    return search.search(base, _asked(spark, d), limit, metric, compile_filter(where, base.schema) if where else None, "vec_id", "embedding")
+
+
+# SQL parts
+
+_SUM = "list_reduce(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda z: {e}), lambda p, q: p + q)"
+
+
+def _dist(a: str, b: str, metric: str) -> str:
+    part = lambda x, y, e: _SUM.format(a=x, b=y, e=e)
+    if metric == "l2":
+        return f"({part(a, b, '(z[1] - z[2]) * (z[1] - z[2])')})::FLOAT"
+    dot = part(a, b, "z[1] * z[2]")
+    if metric == "ip":
+        return f"(-({dot}))::FLOAT"
+    na, nb = part(a, a, "z[1] * z[2]"), part(b, b, "z[1] * z[2]")
+    return f"(CASE WHEN {na} = 0 OR {nb} = 0 THEN 0 ELSE -({dot}) / sqrt({na} * {nb}) END)::FLOAT"
+
+
+def _knn_cte(metric: str = "l2", where: str = "true", limit: int = K, source: str = "embeddings", name: str = "h") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank, vec_id, distance
+  FROM (SELECT q.vec_id AS query_id, e.vec_id, {_dist("q.embedding", "e.embedding", metric)} AS distance
+        FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT * FROM {source} WHERE {where}) e)) WHERE rank <= {limit})"""
+
+
+def _knn_sql(*args: object, **named: object) -> str:
+    return f"WITH {_knn_cte(*args, **named)} SELECT * FROM h"
+
+
+# nearest neighbours
+
+
+@query(_knn_sql("l2"))
+def knn_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "l2")
+
+
+@query(_knn_sql("ip"))
+def knn_ip(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "ip")
+
+
+@query(_knn_sql("cosine"))
+def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "cosine")
+
+
+@query(_knn_sql("l2"))
+def knn_l2_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The same search as a join of Columns, for query sets of any size."""
+    return search.search(_base(spark, d), _asked(spark, d), K, "l2", None, "vec_id", "embedding", strategy="columns")
+
+
+@query(_knn_sql("l2", "label = 3"))
+def knn_filtered_eq(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "l2", {"label": 3})
+
+
+@query(_knn_sql("cosine", "label IN (1, 2, 3)"))
+def knn_filtered_in(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "cosine", {"label": {"$in": [1, 2, 3]}})
+
+
+@query(_knn_sql("l2", "label >= 2 AND label < 6"))
+def knn_filtered_range(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "l2", {"label": {"$ge": 2, "$lt": 6}})
+
+
+@query(_knn_sql("ip", "label = 0 OR label > 7"))
+def knn_hybrid_or(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "ip", {"$or": [{"label": 0}, {"label": {"$gt": 7}}]})
+
+
+@query("SELECT vec_id AS query_id, 0::BIGINT AS valid_count, 'eligible_exhausted' AS completeness FROM embeddings WHERE vec_id % 50 = 0")
+def knn_strict_empty(spark: SparkSession, d: str) -> DataFrame:
+    return search.completeness(_knn(spark, d, "l2", {"missing": "value"}), _asked(spark, d), K)
+
+
+@query(f"""WITH {_knn_cte("l2", "label = 3", 60)}, n AS (SELECT query_id, count(*) AS valid_count FROM h GROUP BY query_id)
+SELECT vec_id AS query_id, coalesce(valid_count, 0)::BIGINT AS valid_count, CASE WHEN valid_count >= 60 THEN 'complete_k' ELSE 'eligible_exhausted' END AS completeness
+FROM embeddings LEFT JOIN n ON n.query_id = vec_id WHERE vec_id % 50 = 0""")
+def knn_completeness(spark: SparkSession, d: str) -> DataFrame:
+    return search.completeness(_knn(spark, d, "l2", {"label": 3}, 60), _asked(spark, d), 60)
+
+
+@query(f"""WITH {_knn_cte("cosine", "label < 4")}, l AS (SELECT query_id, list(vec_id ORDER BY rank) AS ids, count(*) AS n FROM h GROUP BY query_id)
+SELECT query_id, array_to_string(ids, ',') AS ids, (sum(n) OVER (ORDER BY query_id) - n)::BIGINT AS "offset", (sum(n) OVER (ORDER BY query_id))::BIGINT AS next_offset FROM l""")
+def knn_csr_offsets(spark: SparkSession, d: str) -> DataFrame:
+    rows = search.csr(_knn(spark, d, "cosine", {"label": {"$lt": 4}}), _asked(spark, d), "vec_id")
+    return rows.select("query_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "offset", "next_offset")
+
+
+@query(f"WITH {_knn_cte('l2')} SELECT h.*, label FROM h JOIN embeddings USING (vec_id)")
+def knn_get_payload(spark: SparkSession, d: str) -> DataFrame:
+    return search.payloads(_knn(spark, d, "l2"), _base(spark, d).select("vec_id", "label"), "vec_id")
+
+
+@query(_knn_sql("l2"))
+def knn_segment_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Each label is a segment with its own answers; overlapping segments are merged and an id counts once."""
+    base = _base(spark, d)
+    parts = [_knn(spark, d, "l2", rows=base.where(p)) for p in ("label < 5", "label >= 3 AND label < 8", "label >= 8")]
+    return search.merge_segments(parts, K, "vec_id")
+
+
+@query(_knn_sql("l2", "vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 7)"))
+def knn_anti_deleted(spark: SparkSession, d: str) -> DataFrame:
+    base = _base(spark, d)
+    return _knn(spark, d, "l2", rows=search.without(base, base.where("label = 7"), "vec_id"))
+
+
+@query(_knn_sql("l2", "vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def knn_admitted(spark: SparkSession, d: str) -> DataFrame:
+    admitted = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return _knn(spark, d, "l2", rows=_base(spark, d).join(admitted, "vec_id", "left_semi"))
+
+
+@query(f"""WITH {_knn_cte("l2")}, {_knn_cte("cosine", "label <> 7", name="g")}
+SELECT (SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM h WHERE h.query_id = g.query_id AND h.vec_id = g.vec_id)) / (count(DISTINCT query_id) * {K}.0) AS recall FROM h""")
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    base = _base(spark, d)
+    return search.recall(_knn(spark, d, "cosine", rows=base.where("label <> 7")), _knn(spark, d, "l2"), K, "vec_id")
+
+
+@query("""SELECT vec_id, round(list_reduce(list_transform(embedding::DOUBLE[], lambda x: x * x), lambda p, q: p + q), 6) AS norm2 FROM embeddings""")
+def l2_normalize_norms(spark: SparkSession, d: str) -> DataFrame:
+    v = l2_normalize(F.transform("embedding", lambda x: x * 3))
+    norm = F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
+    return _base(spark, d).select("vec_id", F.round(norm, 6).alias("norm2"))
+
+
+@query("SELECT (count(*) FILTER (WHERE label IN (1, 2)) / count(*)::DOUBLE) AS selectivity FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 256)")
+def selectivity_sample(spark: SparkSession, d: str) -> DataFrame:
+    base = _base(spark, d)
+    return search.selectivity(base, compile_filter({"label": {"$in": [1, 2]}}, base.schema), id_col="vec_id")
+
+
+@query("""SELECT label, s AS selectivity, CASE WHEN s <= 0.15 THEN 'prefilter' WHEN s <= 0.60 THEN 'traversal' ELSE 'postfilter' END AS plan
+FROM (SELECT l AS label, (SELECT count(*) FILTER (WHERE label <= l) / count(*)::DOUBLE FROM embeddings) AS s FROM (SELECT DISTINCT label AS l FROM embeddings))""")
+def filter_plan_choice(spark: SparkSession, d: str) -> DataFrame:
+    n = _base(spark, d).groupBy("label").count()
+    every = Window.orderBy("label")  # a row a label
+    share = F.sum("count").over(every.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(Window.partitionBy())
+    return n.select("label", share.alias("selectivity")).withColumn("plan", search.filter_plan(F.col("selectivity")))
+
+
+# scans
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars > 500 ORDER BY doc_id LIMIT 100")
+def scan_limit_projection(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.where(compile_filter({"lang": "en", "n_chars": {"$gt": 500}}, docs.schema)).select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(100)
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE (lang = 'de' OR (lang = 'fr' AND n_chars < 1000)) AND source IS NOT NULL")
+def scan_and_or(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    where = {"$and": [{"$or": [{"lang": "de"}, {"$and": [{"lang": "fr"}, {"n_chars": {"$lt": 1000}}]}]}, {"source": {"$ge": ""}}]}
+    return docs.where(compile_filter(where, docs.schema)).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IS NOT NULL")
+def scan_mixed_type_ge(spark: SparkSession, d: str) -> DataFrame:
+    """Text is not less than a number: $ge holds, $gt and equality don't."""
+    docs = table(spark, d, "documents")
+    return docs.where(compile_filter({"$or": [{"lang": {"$ge": 5}}, {"lang": {"$gt": 5}}, {"lang": 5}]}, docs.schema)).select("doc_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 49.5 AND l_returnflag IN ('A', 'R')")
+def scan_wide(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    return rows.where(compile_filter({"l_quantity": {"$ge": 49.5}, "l_returnflag": {"$in": ["A", "R"]}}, rows.schema)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT item_id AS pos, item_id * 7 AS wanted, d.doc_id IS NOT NULL AS found, d.lang FROM benchmark b LEFT JOIN documents d ON d.doc_id = item_id * 7")
+def get_position_aligned(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), (F.col("item_id") * 7).alias("wanted"))
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return asked.join(docs, F.col("wanted") == F.col("doc_id"), "left").select("pos", "wanted", F.col("doc_id").isNotNull().alias("found"), "lang")
+
+
+# versions
+
+_LATEST = "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+
+
+def _dead() -> Column:
+    return F.col("event_type") == "error"
+
+
+def _live(spark: SparkSession, d: str, watermark: int | None = None) -> DataFrame:
+    return mutations.live_rows(_events(spark, d), watermark, "user_id", "event_id", _dead())
+
+
+@query(f"SELECT count(*) AS live FROM ({_LATEST}) WHERE event_type <> 'error'")
+def count_live(spark: SparkSession, d: str) -> DataFrame:
+    return _live(spark, d).agg(F.count("*").alias("live"))
+
+
+@query(f"SELECT event_id, user_id, event_type, value FROM ({_LATEST}) WHERE event_type <> 'error'")
+def latest_version(spark: SparkSession, d: str) -> DataFrame:
+    return _live(spark, d)
+
+
+@query("SELECT event_id, user_id, event_type, value FROM (SELECT * FROM events WHERE event_id <= 500 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'")
+def read_at_watermark(spark: SparkSession, d: str) -> DataFrame:
+    return _live(spark, d, 500)
+
+
+@query(f"SELECT user_id, event_id FROM ({_LATEST}) WHERE event_type = 'error'")
+def tombstones(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.latest(_events(spark, d), None, "user_id", "event_id").where(_dead()).select("user_id", "event_id")
+
+
+@query(f"""SELECT count(*) FILTER (WHERE event_type <> 'error') AS size, count(*) FILTER (WHERE event_type = 'error') AS tombstones, max(event_id) AS watermark,
+  (SELECT count(*) FROM events) AS accepted FROM ({_LATEST})""")
+def stats_agg(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("x"), F.count("*").alias("n"))
+    dead = F.col("x.event_type") == "error"
+    return rows.agg(F.count_if(~dead).alias("size"), F.count_if(dead).alias("tombstones"), F.max("x.event_id").alias("watermark"), F.sum("n").alias("accepted"))
+
+
+@query(f"SELECT event_type AS segment, count(*) AS known_rows FROM ({_LATEST}) GROUP BY event_type")
+def known_rows_per_segment(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.latest(_events(spark, d), None, "user_id", "event_id").groupBy(F.col("event_type").alias("segment")).agg(F.count("*").alias("known_rows"))
+
+
+@query(f"""SELECT user_id, event_id, event_type = 'error' AS is_tombstone, (row_number() OVER (ORDER BY event_type = 'error', user_id) - 1)::BIGINT AS "row" FROM ({_LATEST})""")
+def replacement_rows(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.replacement_rows(_events(spark, d), "user_id", "event_id", _dead()).select("user_id", "event_id", "is_tombstone", "row")
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    """The second half of the events as a batch of changes against what the first half left."""
+    op = F.element_at(F.create_map(*[F.lit(x) for kv in {"view": "upsert", "click": "add", "purchase": "replace", "error": "delete"}.items() for x in kv]), F.col("event_type"))
+    rows = _events(spark, d)
+    half = rows.agg(F.floor(F.max("event_id") / 2).alias("half"))
+    rows = rows.join(F.broadcast(half)).where("event_id > half")
+    return rows.select((F.col("event_id") - F.col("half") - 1).alias("pos"), F.col("user_id").alias("id"), F.coalesce(op, F.lit("upsert")).alias("op"))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d)
+    half = rows.agg(F.floor(F.max("event_id") / 2).alias("half"))
+    first = rows.join(F.broadcast(half)).where("event_id <= half").drop("half")
+    return mutations.live_rows(first, None, "user_id", "event_id", _dead()).select(F.col("user_id").alias("id"))
+
+
+_BATCH = f"""h AS (SELECT max(event_id) // 2 AS half FROM events),
+b AS (SELECT event_id - half - 1 AS pos, user_id AS id, CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'replace' WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events, h WHERE event_id > half),
+s AS (SELECT user_id AS id FROM (SELECT events.* FROM events, h WHERE event_id <= half QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error')"""
+_STATUS = """CASE WHEN op = 'delete' THEN CASE WHEN {live} THEN 'deleted' ELSE 'not_found' END WHEN op = 'add' AND {live} THEN 'already_exists'
+  WHEN op = 'replace' AND NOT {live} THEN 'not_found' WHEN NOT {live} THEN 'inserted' WHEN op = 'replace' THEN 'replaced' ELSE 'updated' END"""
+
+
+@query(f"""WITH {_BATCH}, l AS (SELECT b.*, s.id IS NOT NULL AS live, row_number() OVER (PARTITION BY b.id ORDER BY pos) AS nth FROM b LEFT JOIN s ON s.id = b.id),
+t AS (SELECT pos, id, op, CASE WHEN nth > 1 THEN 'conflict' ELSE {_STATUS.format(live="live")} END AS status FROM l),
+f AS (SELECT min(pos) AS first FROM t WHERE status IN ('already_exists', 'not_found', 'conflict'))
+SELECT pos, id, op, CASE WHEN first IS NULL OR pos = first THEN status ELSE 'aborted' END AS status FROM t, f""")
+def batch_status_atomic(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.atomic_statuses(_batch(spark, d), _stored(spark, d)).select("pos", "id", "op", "status")
+
+
+_PARTIAL = f"""WITH {_BATCH}, l AS (SELECT b.*, s.id IS NOT NULL AS stored FROM b LEFT JOIN s ON s.id = b.id),
+n AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('add', 'upsert') THEN true WHEN op = 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), stored) AS live FROM l)"""
+
+
+@query(f"{_PARTIAL} SELECT pos, id, op, {_STATUS.format(live='live')} AS status FROM n")
+def batch_status_partial(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.partial_statuses(_batch(spark, d), _stored(spark, d)).select("pos", "id", "op", "status")
+
+
+@query(f"""{_PARTIAL}, t AS (SELECT pos, id, {_STATUS.format(live='live')} AS status FROM n)
+SELECT pos, id, status, 1000::INT AS batch_op_id, 1001 + pos AS row_op_id, CASE WHEN status IN ('already_exists', 'not_found') THEN 999 ELSE 1001 + pos END AS visibility_watermark,
+status NOT IN ('already_exists', 'not_found') AS searchable FROM t""")
+def batch_receipts(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.receipts(mutations.partial_statuses(_batch(spark, d), _stored(spark, d)), 1000, 999)
+
+
+@query(f"SELECT count(*) AS matched, count(*) AS deleted, 0::BIGINT AS not_found, ceil(count(*) / 7.0)::BIGINT AS batches FROM ({_LATEST}) WHERE event_type <> 'error' AND value > 50")
+def delete_where_counts(spark: SparkSession, d: str) -> DataFrame:
+    live = _live(spark, d)
+    hit = live.where(compile_filter({"value": {"$gt": 50}}, live.schema)).select(F.col("user_id").alias("id"), F.lit("delete").alias("op"), F.col("event_id").alias("pos"))
+    done = mutations.partial_statuses(hit, live.select(F.col("user_id").alias("id")))
+    n = F.count("*")
+    return done.agg(n.alias("matched"), F.count_if(F.col("status") == "deleted").alias("deleted"), F.count_if(F.col("status") == "not_found").alias("not_found"), F.ceil(n / 7).alias("batches"))
+
+
+@query("SELECT event_id, (event_id // 256) AS batch, (row_number() OVER (PARTITION BY event_id // 256 ORDER BY event_id)) = 256 AS seals FROM events")
+def auto_seal_flags(spark: SparkSession, d: str) -> DataFrame:
+    batch = F.expr("event_id div 256")
+    rows = _events(spark, d).select("event_id", batch.alias("batch"))
+    return rows.withColumn("seals", F.row_number().over(Window.partitionBy("batch").orderBy("event_id")) == 256)
+
+
+# quantizers, clusters, graphs
+
+_CELLS = "c AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings)"
+_RANGES = f"{_CELLS}, r AS (SELECT dim, min(x) AS low, max(x) AS high FROM c GROUP BY dim)"
+
+
+def _code(levels: int) -> str:
+    x, a, b = "c.x::DOUBLE", "r.low::DOUBLE", "r.high::DOUBLE"
+    return f"CASE WHEN {a} = {b} OR {x} <= {a} THEN 0 WHEN {x} >= {b} THEN {levels} ELSE floor(({x} - {a}) / ({b} - {a}) * {levels}) END::INT"
+
+
+@query(f"WITH {_RANGES} SELECT dim::INT AS dim, low, high FROM r")
+def sq8_fit(spark: SparkSession, d: str) -> DataFrame:
+    return quantize.fit_ranges(_base(spark, d), "embedding")
+
+
+@query(f"WITH {_RANGES} SELECT vec_id, string_agg({_code(255)}, ',' ORDER BY dim) AS code FROM c JOIN r USING (dim) GROUP BY vec_id")
+def sq8_encode(spark: SparkSession, d: str) -> DataFrame:
+    base = _base(spark, d)
+    return quantize.sq_encode(base, quantize.fit_ranges(base, "embedding"), 255, "embedding").select("vec_id", F.array_join(F.transform("code", lambda x: x.cast("string")), ",").alias("code"))
+
+
+@query(f"WITH {_RANGES} SELECT vec_id, string_agg(lower(to_hex({_code(15)})), '' ORDER BY dim) AS code FROM c JOIN r USING (dim) GROUP BY vec_id")
+def sq4_encode(spark: SparkSession, d: str) -> DataFrame:
+    base = _base(spark, d)
+    return quantize.sq_encode(base, quantize.fit_ranges(base, "embedding"), 15, "embedding").select("vec_id", quantize.packed4(F.col("code")).alias("code"))
+
+
+_SQ8 = f"""{_RANGES}, sq AS (SELECT vec_id, list(low::DOUBLE + {_code(255)} * (high::DOUBLE - low::DOUBLE) / 255 ORDER BY dim) AS embedding FROM c JOIN r USING (dim) GROUP BY vec_id)"""
+
+
+@query(f"""WITH {_SQ8} SELECT query_id, rank, vec_id, distance FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank, vec_id, distance
+FROM (SELECT q.vec_id AS query_id, e.vec_id, {_dist("q.embedding", "e.embedding", "l2")} AS distance FROM sq q, sq e WHERE q.vec_id % 50 = 0)) WHERE rank <= {K}""")
+def sq8_knn(spark: SparkSession, d: str) -> DataFrame:
+    return quantize.sq_search(_base(spark, d), _asked(spark, d), K, "l2", 255, "vec_id", "embedding")
+
+
+@query(f"WITH {_CELLS} SELECT dim::INT AS dim, round(avg(x::DOUBLE), 9) AS mean FROM c GROUP BY dim")
+def mean_vector(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.mean_vector(_base(spark, d), "embedding").select("dim", F.round("mean", 9).alias("mean"))
+
+
+@query(f"""WITH {_CELLS}, m AS (SELECT list(a ORDER BY dim) AS m FROM (SELECT dim, avg(x::DOUBLE) AS a FROM c GROUP BY dim))
+SELECT vec_id FROM embeddings, m ORDER BY {_dist("embedding", "m", "l2")}, vec_id LIMIT 1""")
+def medoid(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.medoid(_base(spark, d), "vec_id", "embedding").select("vec_id")
+
+
+def _centroids(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of smallest id of each label."""
+    first = _base(spark, d).groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("x"))
+    return first.select(F.col("label").cast("long").alias("cluster"), F.col("x.embedding").alias("centroid"))
+
+
+_CENTROIDS = "ct AS (SELECT label::BIGINT AS cluster, arg_min(embedding, vec_id) AS centroid FROM embeddings GROUP BY label)"
+_NEAR = f"""{_CENTROIDS}, nc AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster)::INT AS rank, cluster, distance
+  FROM (SELECT vec_id, cluster, {_dist("embedding", "centroid", "l2")} AS distance FROM embeddings, ct))"""
+
+
+@query(f"WITH {_NEAR} SELECT * FROM nc WHERE rank <= 2")
+def nearest_centroid_k2(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.nearest_centroids(_base(spark, d), _centroids(spark, d), 2, "vec_id", "embedding")
+
+
+@query(f"WITH {_NEAR} SELECT cluster, count(*) AS size FROM nc WHERE rank = 1 GROUP BY cluster")
+def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.cluster_sizes(cluster.nearest_centroids(_base(spark, d), _centroids(spark, d), 1, "vec_id", "embedding"))
+
+
+@query(f"""WITH {_NEAR}, x AS (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS dim FROM nc JOIN embeddings USING (vec_id) WHERE rank = 1),
+a AS (SELECT cluster, dim, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL)
+SELECT ct.cluster, coalesce(max(n), 0)::BIGINT AS size, round(coalesce(sum(m * (dim + 1)), 0), 6) AS checksum FROM ct LEFT JOIN a ON a.cluster = ct.cluster GROUP BY ct.cluster""")
+def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
+    step = cluster.lloyd_step(_base(spark, d), _centroids(spark, d), "vec_id", "embedding")
+    # in float the centroid is the mean to seven digits, of which six places of the weighted sum are compared
+    base, near = _base(spark, d), cluster.nearest_centroids(_base(spark, d), _centroids(spark, d), 1, "vec_id", "embedding")
+    cells = base.join(near.select("vec_id", "cluster"), "vec_id").select("cluster", F.posexplode("embedding").alias("dim", "x"))
+    means = cells.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    sums = means.groupBy("cluster").agg(F.sum(F.col("m") * (F.col("dim") + 1)).alias("checksum"))
+    return step.select("cluster", "size").join(sums, "cluster", "left").select("cluster", "size", F.round(F.coalesce("checksum", F.lit(0.0)), 6).alias("checksum"))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's nearest rows as edges."""
+    return _knn(spark, d, "l2").select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), (F.col("rank") - 1).alias("slot"))
+
+
+_EDGES = f"{_knn_cte('l2')}, e AS (SELECT query_id AS src, vec_id AS dst, rank - 1 AS slot FROM h)"
+
+
+@query(f"WITH {_EDGES} SELECT indegree, count(*) AS rows FROM (SELECT dst, count(*) AS indegree FROM e GROUP BY dst) GROUP BY indegree")
+def indegree_hist(spark: SparkSession, d: str) -> DataFrame:
+    return graph.indegrees(_edges(spark, d))
+
+
+@query(f"""WITH {_EDGES}, k AS (SELECT e.* FROM e WHERE src NOT IN (SELECT vec_id FROM embeddings WHERE label = 7) AND dst NOT IN (SELECT vec_id FROM embeddings WHERE label = 7))
+SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY slot, dst) - 1)::INT AS slot FROM k""")
+def dead_edge_purge(spark: SparkSession, d: str) -> DataFrame:
+    return graph.purge(_edges(spark, d), _base(spark, d).where("label = 7").select(F.col("vec_id").alias("id")))
+
+
+@query(f"""WITH {_EDGES}, v AS (SELECT dst, count(*) AS n FROM e GROUP BY dst HAVING count(*) > 1)
+SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY n DESC NULLS LAST, slot) - 1)::INT AS slot FROM e LEFT JOIN v USING (dst)""")
+def freq_relayout(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d)
+    return graph.relayout(edges, edges.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1"))
+
+
+@query(f"""WITH {_EDGES}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst)
+SELECT src, least(count(*), 4)::BIGINT AS degree FROM u GROUP BY src""")
+def shard_merge_degrees(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d)
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.merge_shards(both, 4).groupBy("src").agg(F.count("*").alias("degree"))
+
+
+@query()
+def vamana_search(spark: SparkSession, d: str) -> DataFrame:
+    """Graph search in overlapping shards; a test holds its recall against the exact search."""
+    base = _base(spark, d)
+    centroids = cluster.kmeans(base, 2, 5, id_col="vec_id", vector_col="embedding")
+    sharded = cluster.shard_assignment(base, centroids, 2, "vec_id", "embedding")
+    edges = graph.build_shards(sharded, 16, 32, id_col="vec_id", vector_col="embedding")
+    return graph.search_shards(sharded, edges, _asked(spark, d), K, 64, id_col="vec_id", vector_col="embedding")
+
+
+@query()
+def two_stage_search(spark: SparkSession, d: str) -> DataFrame:
+    """One-bit codes first, exact distances of the shortlist after; a test holds its recall against the exact search."""
+    base = _base(spark, d)
+    model = quantize.OneBit.fit(base, 64, "embedding")
+    coded = quantize.onebit_encode(base, model, "vec_id", "embedding")
+    return quantize.two_stage_search(base, coded, model, _asked(spark, d), K, "l2", 10, "vec_id", "embedding")
+
+
+@query()
+def pca_project(spark: SparkSession, d: str) -> DataFrame:
+    base = _base(spark, d)
+    return cluster.Pca.fit(base, 64, 8, "embedding").apply(base.select("vec_id", "embedding"), "embedding").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+
+
+# text
+
+
+@query()
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return text.sentence_chunks(table(spark, d, "documents"))
+
+
+@query()
+def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return text.fixed_chunks(table(spark, d, "documents"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(html, '\s+', ' ', 'g')) AS text FROM pages")
+def whitespace_norm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.normalize_whitespace(F.col("html")).alias("text"))
+
+
+@query("""WITH t AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
+u AS (SELECT *, 'Q: ' || coalesce(text, '') || chr(10) || 'A: ' || coalesce(answer, '') AS line FROM t WHERE role = 'user')
+SELECT conv_id, turn, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') || chr(10) || chr(10) || 'New question：' || coalesce(text, '') AS query FROM u""")
+def history_window(spark: SparkSession, d: str) -> DataFrame:
+    return text.history_queries(table(spark, d, "conversations"))
+
+
+@query(f"""WITH {_knn_cte("cosine", limit=3)} SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN documents ON doc_id = vec_id GROUP BY query_id
+UNION ALL SELECT query_id, '' FROM (SELECT DISTINCT query_id FROM h) WHERE query_id NOT IN (SELECT query_id FROM h JOIN documents ON doc_id = vec_id)""")
+def retrieve_join(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return text.contexts(_knn(spark, d, "cosine", limit=3), docs, _asked(spark, d), "vec_id", "text")
+
+
+@query()
+def rag_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks embedded and searched by the benchmark's texts, with the hashing embedder."""
+    embed = text.embedder("hash")
+    rows = text.ingest(table(spark, d, "documents").select("doc_id", "text"), text.sentence_chunks, embed)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return text.retrieve(rows, asked, embed, 3)
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def sha256_docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query()
+def crc32_docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"))
+
+
+# reports
+
+
+def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _knn(spark, d, "l2"), _knn(spark, d, "l2", rows=_base(spark, d).where("label <> 7"))
+
+
+_TWO = f"{_knn_cte('l2')}, {_knn_cte('l2', 'label <> 7', name='g')}"
+_OVERLAP = f"""{_TWO}, o AS (SELECT h.query_id, count(g.vec_id) / {K}.0::DOUBLE AS overlap FROM h LEFT JOIN g ON g.query_id = h.query_id AND g.vec_id = h.vec_id GROUP BY h.query_id)"""
+
+
+@query(f"""WITH {_OVERLAP} SELECT round(avg(overlap), 9) AS mean, min(overlap) AS "min", round(quantile_cont(overlap, 0.01), 9) AS p01, round(quantile_cont(overlap, 0.05), 9) AS p05, round(quantile_cont(overlap, 0.5), 9) AS p50,
+round(quantile_cont(overlap, 0.95), 9) AS p95, round(quantile_cont(overlap, 0.99), 9) AS p99, count(*) FILTER (WHERE overlap = 1) AS perfect FROM o""")
+def overlap_summary(spark: SparkSession, d: str) -> DataFrame:
+    truth, hits = _two(spark, d)
+    rows = analysis.overlap_summary(analysis.overlaps(hits, truth, K, "vec_id"))
+    return rows.select(*[F.round(x, 9).alias(x) if x in ("mean", "p01", "p05", "p50", "p95", "p99") else x for x in rows.columns])
+
+
+@query("""SELECT lang, round(coalesce(CASE WHEN count(*) < 2 THEN 0 WHEN var_pop(a) = 0 OR var_pop(b) = 0 THEN 0 ELSE corr(a, b) END, 0), 9) AS rho
+FROM (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS a,
+      rank() OVER (PARTITION BY lang ORDER BY doc_id) + (count(*) OVER (PARTITION BY lang, doc_id) - 1) / 2.0::DOUBLE AS b FROM documents) GROUP BY lang""")
+def spearman_docs(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.spearman(table(spark, d, "documents"), "n_chars", "doc_id", ["lang"]).withColumn("rho", F.round("rho", 9))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT user_id, count(*) FILTER (WHERE a <= 8 AND b <= 8) / 8.0::DOUBLE AS overlap FROM p GROUP BY user_id""")
+def topm_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.topm_overlap(table(spark, d, "events"), "user_id", "event_id", "value", "ts", 8)
+
+
+@query("""SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k = greatest(1, ceil(0.99 * n))""")
+def latency_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.nearest_rank(table(spark, d, "events"), "value", 0.99, ["event_type"])
+
+
+@query("""SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k = floor(0.5 * (n - 1)) + 1""")
+def lower_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.lower_percentile(table(spark, d, "events"), "value", 0.5, ["event_type"])
+
+
+@query(f"""WITH {_TWO} SELECT (SELECT count(*) FROM h JOIN g ON h.query_id = g.query_id AND h.vec_id = g.vec_id) / count(*)::DOUBLE AS jaccard FROM (SELECT query_id, vec_id FROM h UNION SELECT query_id, vec_id FROM g)""")
+def edge_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (x.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst")) for x in _two(spark, d))
+    return analysis.edge_jaccard(a, b)
+
+
+def _curve(spark: SparkSession, d: str) -> DataFrame:
+    """A recall curve: by label, the share of smaller labels, and a rate that falls with it."""
+    n = _base(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    share = F.sum("n").over(Window.orderBy("label")) / F.sum("n").over(Window.partitionBy())
+    return n.select("label", share.alias("recall"), (1000.0 / (F.col("label") + 1)).alias("qps"))
+
+
+_CURVE = "v AS (SELECT label, sum(n) OVER (ORDER BY label) / sum(n) OVER ()::DOUBLE AS recall, 1000.0::DOUBLE / (label + 1) AS qps FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label))"
+
+
+@query(f"""WITH {_CURVE}, s AS (SELECT recall AS x0, qps AS y0, lead(recall) OVER (ORDER BY recall, qps) AS x1, lead(qps) OVER (ORDER BY recall, qps) AS y1 FROM v)
+SELECT target, round(max(CASE WHEN x1 = x0 THEN greatest(y0, y1) ELSE y0 + (y1 - y0) * (target - x0) / (x1 - x0) END), 6) AS qps FROM s, (SELECT unnest([0.5, 0.9, 0.95]::DOUBLE[]) AS target) WHERE x1 IS NOT NULL AND target BETWEEN x0 AND x1 GROUP BY target""")
+def iso_interpolate(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.interpolated(_curve(spark, d), [0.5, 0.9, 0.95]).withColumn("qps", F.round("qps", 6))
+
+
+@query("SELECT event_type, round(exp(avg(ln(value))), 6) AS geomean FROM events WHERE value > 0 GROUP BY event_type")
+def geomean(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.geometric_mean(table(spark, d, "events").where("value > 0"), "value", ["event_type"]).withColumn("geomean", F.round("geomean", 6))
+
+
+@query("""SELECT event_type, round(exp(avg(ln(m))), 6) AS balanced FROM (SELECT event_type, user_id % 2 AS half, quantile_cont(value, 0.5) AS m FROM events GROUP BY ALL) GROUP BY event_type""")
+def balanced_medians(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").withColumn("half", F.col("user_id") % 2)
+    return analysis.balanced(rows, "value", "half", ["event_type"]).withColumn("balanced", F.round("balanced", 6))
+
+
+@query("""WITH r AS (SELECT event_type AS combo, (user_id % 5) AS ef, avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END)::DOUBLE AS recall, round(avg(value), 9) AS qps FROM events GROUP BY ALL),
+p AS (SELECT a.ef, a.combo AS a, b.combo AS b, abs(a.recall - b.recall) AS rd, abs(a.qps - b.qps) / greatest(a.qps, b.qps) AS qd, a.recall AS ra, b.recall AS rb, a.qps AS qa, b.qps AS qb FROM r a JOIN r b ON a.ef = b.ef AND a.combo < b.combo)
+SELECT ef, a, b, round(rd, 9) AS recall_diff, round(qd, 9) AS qps_diff, rd <= 0.003 AND qd <= 0.05 AS alike,
+CASE WHEN ra >= rb + 0.001 AND qa >= qb * 1.02 THEN a WHEN rb >= ra + 0.001 AND qb >= qa * 1.02 THEN b END AS dominates FROM p""")
+def pareto_pairs(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "events").groupBy(F.col("event_type").alias("combo"), (F.col("user_id") % 5).alias("ef")).agg(F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0)).alias("recall"), F.round(F.avg("value"), 9).alias("qps"))
+    return analysis.pareto_pairs(runs).withColumns({x: F.round(x, 9) for x in ("recall_diff", "qps_diff")})
+
+
+@query(f"""WITH {_CELLS}, s AS (SELECT dim, sum(x::DOUBLE) AS a, sum(x::DOUBLE * 1.5) AS b FROM c GROUP BY dim)
+SELECT round(max(abs(a - b)), 6) AS max_absolute, round(max(abs(a - b) / abs(a)), 6) AS max_relative FROM s""")
+def coordinate_sums(spark: SparkSession, d: str) -> DataFrame:
+    base = _base(spark, d).select(F.col("embedding").cast("array<double>").alias("embedding"))
+    other = base.select(F.transform("embedding", lambda x: x * 1.5).alias("embedding"))
+    rows = analysis.coordinate_sums(base, other, "embedding", "embedding")
+    return rows.select(F.round("max_absolute", 6).alias("max_absolute"), F.round("max_relative", 6).alias("max_relative"))
+
+
+@query(f"""WITH {_knn_cte("l2", limit=11)} SELECT query_id, avg((vec_id >= 250)::INT) AS new_share, CASE WHEN avg((vec_id >= 250)::INT) = 0 THEN 'old' WHEN avg((vec_id >= 250)::INT) >= 0.5 THEN 'new' ELSE 'mixed' END AS kind FROM h WHERE rank <= 10 GROUP BY query_id""")
+def query_groups(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.query_groups(_knn(spark, d, "l2", limit=11), 250, id_col="vec_id")
+
+
+@query(f"""WITH {_knn_cte("l2", limit=2)} SELECT round(avg(x), 9) AS mean_distance FROM (SELECT query_id, min(distance)::DOUBLE AS x FROM h WHERE vec_id <> query_id GROUP BY query_id)""")
+def nearest_mean_distance(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.nearest_mean_distance(_knn(spark, d, "l2", limit=2), "vec_id").select(F.round("mean_distance", 9).alias("mean_distance"))
