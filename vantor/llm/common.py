@@ -54,3 +54,12 @@ def labelled_sample(labels: DataFrame, label: str, bound: int) -> DataFrame:
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
     rows = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+#: Rows of a few numbers that may be sent to every task.
+SMALL = 1 << 20
+
+
+def sized(df: DataFrame, bound: int = SMALL) -> DataFrame:
+    """df, marked to be sent to every task if it has few enough rows; else joins shuffle it. Cut it before: it is counted."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

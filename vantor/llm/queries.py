@@ -40,7 +40,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantor.llm.line_dedup import dedup_lines
 
-    return dedup_lines(read(spark, sf_dir, "documents")).drop("groups")
+    return dedup_lines(read(spark, sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
