@@ -84,6 +84,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = linked.join(least, "component").select("fingerprint", "least")
     named = classes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("least", "rep").alias("component_id"))
+    named = cut(named)  # then both sides of the last join are plain exchanges, and a hot fingerprint's rows can be split
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
