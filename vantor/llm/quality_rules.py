@@ -17,7 +17,7 @@ MIN_GROUP = 200
 #: A fence stands so many times the distance between the quartiles beyond them.
 FENCE = 3
 #: metric: (what a value may stand beyond the fence, whether there is a lower fence too)
-METRICS = {"word_length": (100, True), "symbols": (100, False), "dup_lines": (500, False), "repeats": (400, False)}
+METRICS = {"word_length": (100, True), "symbols": (100, False), "dup_lines": (500, False), "repeats": (500, False)}
 
 
 def _repeat_words(words: Column) -> Column:
