@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import cut
+from vantor.llm.common import cut, sized
 from vantor.llm.components import connected_components
 
 SEED = 42
@@ -54,7 +54,8 @@ def links(prints: DataFrame) -> DataFrame:
     65 can share one, so a star links them without pairs.
     """
     f, k = F.col("f"), F.col("k")
-    prints = prints.toDF("f")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.toDF("f").repartition(parts, "f")  # small as they are, they become 64 times as many
     segment = F.when(k < 32, f.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(f, 32))
     left_out = F.bitwise_not(F.expr("shiftleft(1L, k % 32)"))
     key = F.shiftleft(k.cast("long"), 32).bitwiseOR(segment.bitwiseAND(left_out))
@@ -62,7 +63,7 @@ def links(prints: DataFrame) -> DataFrame:
     buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b"))
     buckets = cut(buckets.where("n > 1"))
     pairs = buckets.where("n = 2 and bit_count(a ^ b) <= 2").select("a", "b")
-    crowded = variants.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("f").distinct()
+    crowded = variants.join(sized(buckets.where("n > 2").select("key")), "key", "left_semi").select("f").distinct()
     changed = F.when(k < 64, f.bitwiseXOR(F.expr("shiftleft(1L, k % 64)"))).otherwise(f)
     balls = crowded.select("f", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("k")).select("f", changed.alias("key"))
     stars = balls.groupBy("key").agg(F.collect_list("f").alias("fs")).where("size(fs) > 1")
@@ -78,7 +79,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     one; an empty table gives an empty one. Rows without an id have a component, and lend it no id.
     """
     rows = cut(fingerprints(docs, width))
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    classes = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
     found = connected_components(links(classes.select("fingerprint")))
     linked = classes.join(found, classes["fingerprint"] == found["node"])
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
