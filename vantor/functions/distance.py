@@ -58,7 +58,7 @@ def distance_matrix(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np
     if metric == "cosine":
         ordered = lambda m: np.add.accumulate(m * m, axis=1)[:, -1]  # noqa: E731  left to right, unlike sum()
         norms = ordered(q)[:, None] * ordered(v)[None, :]
-        out = np.divide(out, np.sqrt(norms), out=np.zeros_like(out), where=norms > 0)
+        out = np.divide(out, np.sqrt(norms), out=np.zeros_like(out), where=norms != 0)
     return (-out + 0.0).astype(np.float32)
 
 
@@ -70,7 +70,7 @@ def gemm_matrix(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.nda
     if metric == "ip":
         return -(q @ v.T)
     norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-    return -np.divide(q @ v.T, norms, out=np.zeros((len(q), len(v)), np.float32), where=norms > 0)
+    return -np.divide(q @ v.T, norms, out=np.zeros((len(q), len(v)), np.float32), where=norms != 0)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:

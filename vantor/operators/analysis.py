@@ -32,7 +32,7 @@ def spearman(rows: DataFrame, x: str, y: str, group: list[str] | None = None) ->
     """(group..., rho): Pearson correlation of average ranks; 0 for fewer than two rows or without variance."""
     by = group or []
     ranks = rows.select(*by, *[_average_rank(c, by).alias(f"__{k}") for k, c in enumerate((x, y))])
-    rho = F.when((F.count("*") < 2) | (F.var_pop("__0") == 0) | (F.var_pop("__1") == 0), F.lit(0.0)).otherwise(F.corr("__0", "__1"))
+    rho = F.when((F.count("*") < 2) | (F.var_pop("__0") == 0) | (F.var_pop("__1") == 0), F.lit(0.0)).otherwise(F.covar_pop("__0", "__1") / (F.stddev_pop("__0") * F.stddev_pop("__1")))
     return ranks.groupBy(*by).agg(rho.alias("rho"))
 
 
