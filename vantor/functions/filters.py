@@ -19,7 +19,6 @@ from vantor.errors import InvalidArgument
 
 OPERATORS = ("$eq", "$gt", "$ge", "$lt", "$le", "$in")
 INT64 = range(-(1 << 63), 1 << 63)
-_TRUE, _FALSE = F.lit, F.lit
 
 
 def scalar(value: object) -> bool | int | float | str:

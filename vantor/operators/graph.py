@@ -7,7 +7,7 @@ shard, whose size shards_for() bounds; all between shards is joins and windows.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa

@@ -9,9 +9,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -375,7 +374,7 @@ class Collection:
             return {"version": m["version"], "merged": 0}
         segment = self._image(latest(self._read(sealed)).where("op = 'write'"), isinstance(self.config.index, c.GraphIndex))
         rest = [x for x in m["segments"] if x["kind"] != "sealed"]
-        new = self._commit(m, segments=[segment, *rest], retired=m["retired"] + _paths(sealed), history_from=max(m["history_from"], min([m["watermark"]])))
+        new = self._commit(m, segments=[segment, *rest], retired=m["retired"] + _paths(sealed), history_from=m["watermark"])
         return {"version": new["version"], "merged": len(sealed)}
 
     def checkpoint(self) -> dict:
@@ -457,8 +456,4 @@ def _paths(segments: list[dict]) -> list[str]:
     return [x[k] for x in segments for k in ("path", "codes") if k in x]
 
 
-def any_of(parts: list[DataFrame], how: Callable[[DataFrame, DataFrame], DataFrame] = DataFrame.unionByName) -> DataFrame:
-    return reduce(how, parts)
-
-
-__all__ = ["FAILED", "Collection", "Engine", "SearchResult", "any_of", "connect"]
+__all__ = ["FAILED", "Collection", "Engine", "SearchResult", "connect"]
