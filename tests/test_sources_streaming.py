@@ -53,3 +53,14 @@ def test_change_stream(spark, tmp_path):
         assert sorted((r.id, r.document) for r in col.records().collect()) == [("a", "A2"), ("c", "")]
         keys = [k for k in col._manifest()["keys"] if k.startswith("changes:")]
         assert len(keys) == 3
+
+
+def test_read_texts(spark, tmp_path):
+    from vantor.sources.texts import read_texts
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("one\n two\t three ")
+    (tmp_path / "in" / "deep" / "b.md").write_text("# four")
+    (tmp_path / "in" / "c.txt").write_text(" \n")
+    (tmp_path / "in" / "d.bin").write_text("no")
+    assert sorted(r.text for r in read_texts(spark, str(tmp_path / "in")).collect()) == ["# four", "one two three"]

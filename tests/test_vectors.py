@@ -172,3 +172,16 @@ def test_large_graph_filter_recall(spark):
     hits = search.search(rows, asked(spark, v[:1]), 100, "cosine", F.col("label") == "target").collect()
     want = np.argsort(-(v[:2000].astype(float) @ v[0].astype(float)), kind="stable")[:100]
     assert {r.id for r in hits} == set(want.tolist())
+
+
+def test_overfetch(spark, sample):
+    base, q = frame(spark, sample), asked(spark, sample[:3])
+    some, asked_for = base.where("id % 7 = 0"), []
+
+    def found(n):
+        asked_for.append(n)
+        return search.search(base, q, n)
+
+    got = by_query(search.overfetch(found, some, 5, rounds=8))
+    assert got == by_query(search.search(some, q, 5)) and asked_for == [5 << k for k in range(len(asked_for))] and len(asked_for) > 2
+    assert search.overfetch(found, base.where("false"), 5, rounds=0).count() == 0

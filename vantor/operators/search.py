@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,3 +163,20 @@ def preflight(n_queries: int, live: int, limit: int, dim: int, budget_bytes: int
     if budget_bytes is not None and need > budget_bytes:
         raise ResourceExhausted(f"search needs {need} bytes, the budget is {budget_bytes}")
     return need
+
+
+def overfetch(found: Callable[[int], DataFrame], admitted: DataFrame, limit: int, rounds: int = 4, id_col: str = "id") -> DataFrame:
+    """The best `limit` admitted rows of an approximate search that knows no filter: found(n) gives its first n hits a query.
+
+    n doubles while some query has too few that are admitted and its hits aren't exhausted, for so many more rounds.
+    """
+    n = limit
+    for k in range(rounds + 1):
+        hits = found(n)
+        kept = hits.join(admitted.select(id_col).distinct(), id_col, "left_semi")
+        counts = hits.groupBy("query_id").agg(F.count("*").alias("all")).join(kept.groupBy("query_id").agg(F.count("*").alias("ok")), "query_id", "left")
+        short = counts.where((F.coalesce("ok", F.lit(0)) < limit) & (F.col("all") >= n))
+        if k == rounds or short.limit(1).count() == 0:
+            return ranked(kept.select("query_id", id_col, "distance"), limit, id_col)
+        n *= 2
+    raise AssertionError("not reached")
