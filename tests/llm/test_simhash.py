@@ -96,3 +96,11 @@ def test_components(spark, edges):
                 parent[a] = parent[b] = min(parent[a], parent[b])
                 change = True
     assert found == parent
+
+
+def test_keep_one_loses_no_unrelated_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in ("apple", "river", "stone"))
+    rows = [(5, a), (5, b), (3, a), (1, c), (1, c), *[(None, f"{x} " * 3 + " ".join(f"{x}{k}" for k in range(60))) for x in ("u", "v", "w", "w")]]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+    assert {(r.doc_id, r.text) for r in kept if r.doc_id} == {(3, a), (5, b), (1, c)}

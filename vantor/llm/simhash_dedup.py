@@ -89,15 +89,29 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row of each group: of its rows with the smallest doc_id (or none has an id), the first by text.
+
+    groups: (h, component), a row for each distinct xxhash64 of a text. Rows are chosen within a component, so that
+    neither a repeated nor a missing id joins what no text does.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h")).join(groups, "h")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    kept = rows.join(least, "component").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    kept = kept.groupBy("h", F.col("doc_id").alias("__kept_id"), "component").agg(F.count("*").alias("n"))
+    kept = cut(kept.withColumnsRenamed({"h": "__h", "component": "__component"}))
+    out = docs.join(kept.drop("n"), (F.xxhash64("text") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__kept_id")))
+    several = cut(kept.groupBy("__component").agg(F.sum("n").alias("n")).where("n > 1").select("__component"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if several.limit(1).count() == 0:
+        return out.select(*own)
+    # an aggregate, not a window: a group of many rows is reduced where they are
+    first = out.join(sized(several), "__component", "left_semi").groupBy("__component")
+    first = first.agg(F.min_by(F.struct(*own), F.struct(F.xxhash64("text"), "text")).alias("__row")).select("__row.*")
+    return out.join(sized(several), "__component", "left_anti").select(*own).unionByName(first)
+
+
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with one row of each component: that whose id names it (of rows that repeat the id, the first by text)."""
-    found = cut(near_duplicates(docs, width))
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    if repeated:
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-        out = out.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return out
+    """docs with one row of each component, which has the smallest id of it (of rows that repeat the id, the first by text)."""
+    found = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"), width)
+    return one_of_each(docs, cut(found.select(F.col("doc_id").alias("h"), F.col("component_id").alias("component")).distinct()))
