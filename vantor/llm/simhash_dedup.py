@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vantor.llm.common import cut, sized
 from vantor.llm.components import connected_components
+from vantor.llm.near_copies import near_copies
 
 SEED = 42
 STEP = 1 << 15
@@ -111,7 +112,9 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return out.join(sized(several), "__component", "left_anti").select(*own).unionByName(first)
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with one row of each component, which has the smallest id of it (of rows that repeat the id, the first by text)."""
-    found = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"), width)
-    return one_of_each(docs, cut(found.select(F.col("doc_id").alias("h"), F.col("component_id").alias("component")).distinct()))
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near copies, linked by five-word shingles with a similarity of 0.8 or more.
+
+    It has the smallest id of the group (of rows that repeat the id, the first by text).
+    """
+    return one_of_each(docs, cut(near_copies(docs)))
