@@ -123,3 +123,23 @@ def test_one_source(spark, texts):
     rows = spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string")
     got = taken_words(rows).collect()
     assert sum(r.taken for r in got) == sum(r.size for r in got)
+
+
+def test_small_sources_beside_a_large_one(spark, monkeypatch):
+    from vantor.llm import mixing
+
+    monkeypatch.setattr(mixing, "SLOTS", 1 << 12)  # blocks of about 100 words, as a larger table has them
+    sizes = {"a": [3] * 4, "b": [10_000] * 41, "c": [1], "d": [40, 41], "e": [170] * 3}
+    rows = [(f"{s}{k}", s, "w " * n) for s, ns in sizes.items() for k, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    want, taken = targets({s: sum(ns) for s, ns in sizes.items()}), defaultdict(int)
+    for r in taken_words(docs).collect():
+        taken[r.doc_id[0]] += r.taken
+    assert all(taken[s] == round(want[s]) for s in "acde"), (taken, want)
+    copies = Counter(r.doc_id for r in mixed_documents(docs).collect())
+    assert all(copies[f"{s}{k}"] == 3 for s in "acde" for k in range(len(sizes[s])))
+    mix = Mix(docs)
+    words = Counter()
+    for r in mix.pieces(mix.placed()).collect():
+        words[r.source] += r.n_words
+    assert words == taken

@@ -11,6 +11,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: A schedule has about so many slots at most, whatever the size of the input: a block has the words that this leaves it.
 SLOTS = 1 << 17
+#: A source whose target has fewer blocks than this gives that target to the word, its last block being cut.
+FEW_BLOCKS = 1 << 10
 #: A source's shuffled order is laid out in so many parts, so that no task holds a whole source.
 PARTS = 256
 GOLDEN = 0.6180339887498949
@@ -63,7 +65,8 @@ class Mix:
         """(slot, __s, __block): which block of which source stands at each place of the mix.
 
         The i-th point of the golden-ratio sequence picks the source in whose share of the cumulative targets it
-        falls; the points that fall to a source take its blocks in turn.
+        falls; the points that fall to a source take its blocks in turn. A source of few blocks loses what points it has
+        beyond its target, and what it lacks is spread evenly over the mix (beside the block that stands there).
         """
         order = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)
         shares = self.sources.withColumn("__high", F.sum("__target").over(order) / F.sum("__target").over(Window.partitionBy()))
@@ -78,12 +81,22 @@ class Mix:
         inside = (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))
         taken = points.join(shares, "__cell").where(inside)
         rank = F.row_number().over(Window.partitionBy("__s").orderBy("slot")) - 1
-        return cut(taken.select("slot", "__s", rank.cast("long").alias("__block")))
+        taken = cut(taken.select("slot", "__s", rank.cast("long").alias("__block")))
+        few = self.sources.where(self._few()).select("__s", F.ceil(F.round("__target") / self.block).cast("long").alias("__need"))
+        kept = taken.join(few, "__s", "left").where("__need IS NULL OR __block < __need").select("slot", "__s", "__block")
+        lacking = few.join(taken.groupBy("__s").agg(F.count("*").alias("__have")), "__s", "left").withColumn("__have", F.coalesce("__have", F.lit(0).cast("long")))
+        lacking = lacking.where("__have < __need").withColumn("__block", F.explode(F.sequence("__have", F.col("__need") - 1)))
+        slot = F.floor((F.col("__block") + 0.5) * n / F.col("__need")).cast("long")
+        return cut(kept.unionByName(lacking.select(slot.alias("slot"), "__s", "__block")))
+
+    def _few(self) -> Column:
+        return F.col("__target") < FEW_BLOCKS * self.block
 
     def _limits(self) -> DataFrame:
         """(__source, __part, __s, __source_size, __target, __offset, __limit): the words each source gives, and where parts begin."""
         given = self.slots.groupBy("__s").agg((F.count("*") * self.block).alias("__given"))
-        limit = F.least(F.coalesce("__given", F.lit(0)), F.col("__source_size") * MAX_EPOCHS)
+        given_words = F.when(self._few(), F.round("__target").cast("long")).otherwise(F.coalesce("__given", F.lit(0)))
+        limit = F.least(given_words, F.col("__source_size") * MAX_EPOCHS)
         sources = self.sources.join(given, "__s", "left").withColumn("__limit", limit).drop("__given")
         order = Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         named = sources.withColumnRenamed("__source", "__name")
