@@ -175,8 +175,8 @@ def test_line_dedup_recall_of_links(spark, docs):
     """All pairs of the documents' lines with an edit similarity of 0.8, compared in full, against the pairs that share a key."""
     from pyspark.sql import functions as F
 
-    keys = line_dedup.line_keys(docs).where("line IS NOT NULL").groupBy("id").agg(F.first("keys").alias("keys"))
-    texts = docs.select(F.explode(line_dedup._lines(line_dedup.normalised(F.col("text")))["t"]).alias("t")).distinct()
+    keys = line_dedup.distinct_lines(docs).select("id", line_dedup._keys().alias("keys")).dropDuplicates(["id"])
+    texts = docs.select(line_dedup.normalised(F.explode(line_dedup._lines(F.col("text"))["x"])).alias("t")).distinct()
     lines = keys.join(texts.select(F.xxhash64("t").alias("id"), "t"), "id").cache()
     a, b = lines.toDF("a", "ka", "ta"), lines.toDF("b", "kb", "tb")
     most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * 0.2).cast("int")
