@@ -12,12 +12,19 @@ from vantor.llm.common import SPACE, cut, let
 #: Relative accuracy of a sketch's values.
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: A group of fewer rows takes the thresholds of its language, and a language of fewer rows those of all.
-MIN_GROUP = 200
+#: A group of fewer rows takes the thresholds of its language, and a language of fewer rows those of all; where a threshold
+#: follows the positive values, of so many of these.
+MIN_GROUP, MIN_POSITIVE = 200, 50
 #: A fence stands so many times the distance between the quartiles beyond them.
-FENCE = 3
-#: metric: (what a value may stand beyond the fence, whether there is a lower fence too)
-METRICS = {"word_length": (100, True), "symbols": (100, False), "dup_lines": (500, False), "repeats": (500, False)}
+FENCE = 4
+#: Most texts have no repeats: where there are some, their share is spread evenly by its logarithm, and the fence stands
+#: this far above the median: three standard deviations, of which the quartiles are 1.349 apart. Quartiles whose ratio
+#: is below LEAST_RATIO count as if it were that.
+REACH, LEAST_RATIO = 3 / 1.349, 2.0
+#: Nor is a text an outlier for up to one symbol in ten words, where its group has none at all and so no spread.
+TOLERANCE = 100
+#: metric: the kind of its fences. `both` and `high` follow the quartiles of all values, `positive` those above 0.
+METRICS = {"word_length": "both", "symbols": "high", "dup_lines": "positive", "repeats": "positive"}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -87,47 +94,66 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., metric, rows, q1, q3) of sketches merged to the groups named."""
+    """(by..., metric, rows, q1, q3, positive, p1, p2, p3) of sketches merged to the groups named.
+
+    rows and positive count all values and those above 0, q and p are quartiles of these.
+    """
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     merged = merged.withColumn("up_to", F.sum("n").over(group.orderBy("bucket"))).withColumn("rows", F.sum("n").over(group))
+    merged = merged.withColumn("zeros", F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(group))
     value = F.when(F.col("bucket") == 0, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), "bucket") / (GAMMA + 1))
     at = lambda q: F.min(F.when(F.col("up_to") > F.floor((F.col("rows") - 1) * q), value))
-    return merged.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    above = lambda q: F.min(F.when((F.col("bucket") > 0) & (F.col("up_to") - F.col("zeros") > F.floor((F.col("rows") - F.col("zeros") - 1) * q)), value))
+    counts = [F.max("rows").alias("rows"), F.max(F.col("rows") - F.col("zeros")).alias("positive")]
+    return merged.groupBy(*by, "metric").agg(*counts, at(0.25).alias("q1"), at(0.75).alias("q3"), *[above(k / 4).alias(f"p{k}") for k in (1, 2, 3)])
+
+
+def _fences(kind: str) -> tuple[Column, Column, Column]:
+    """(lower fence, upper fence, whether the group has enough values for them) from a row of quantiles()."""
+    reach = FENCE * (F.col("q3") - F.col("q1"))
+    if kind == "positive":
+        high = F.col("p2") * F.pow(F.greatest(F.col("p3") / F.col("p1"), F.lit(LEAST_RATIO)), F.lit(REACH))
+        return F.lit(-1.0), high, F.col("positive") >= MIN_POSITIVE
+    if kind == "high":
+        return F.lit(-1.0), F.col("q3") + reach + TOLERANCE, F.col("rows") >= MIN_GROUP
+    return F.col("q1") - reach, F.col("q3") + reach, F.col("rows") >= MIN_GROUP
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, low_METRIC..., high_METRIC...) for each language and source of the sketches."""
+    """(lang, source, low_METRIC..., high_METRIC...) for each language and source of the sketches.
+
+    A null is no threshold: not even all rows together have enough positive values.
+    """
 
     def wide(q: DataFrame, by: list[str], prefix: str) -> DataFrame:
         cells = []
-        for metric, (slack, both) in METRICS.items():
-            of = lambda v, m=metric: F.max(F.when(F.col("metric") == m, v))
-            reach = FENCE * (F.col("q3") - F.col("q1")) + slack
-            cells.append(of(F.col("q3") + reach).alias(f"{prefix}high_{metric}"))
-            cells.append((of(F.col("q1") - reach) if both else F.lit(-1.0)).alias(f"{prefix}low_{metric}"))
-        return q.groupBy(*by).agg(F.max("rows").alias(f"{prefix}rows"), *cells)
+        for metric, kind in METRICS.items():
+            low, high, enough = _fences(kind)
+            enough = F.lit(True) if not by and kind != "positive" else enough  # all rows are never too few for quartiles
+            cells += [F.max(F.when((F.col("metric") == metric) & enough, v)).alias(f"{prefix}{side}_{metric}") for side, v in (("low", low), ("high", high))]
+        return q.groupBy(*by).agg(*cells)
 
     own = wide(quantiles(sketch, ["lang", "source"]), ["lang", "source"], "s_")
     lang = wide(quantiles(sketch, ["lang"]), ["lang"], "l_").withColumnRenamed("lang", "lang_")
     every = wide(quantiles(sketch, []), [], "a_")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_"))).join(F.broadcast(every))  # every is one row
-    pick = lambda c: F.when(F.col("s_rows") >= MIN_GROUP, F.col(f"s_{c}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    return joined.select("lang", "source", *[pick(f"{side}_{m}").alias(f"{side}_{m}") for m in METRICS for side in ("low", "high")])
+    return joined.select("lang", "source", *[F.coalesce(*[f"{p}_{side}_{m}" for p in "sla"]).alias(f"{side}_{m}") for m in METRICS for side in ("low", "high")])
 
 
 def filter_rules(docs: DataFrame) -> DataFrame:
     """measured() with base_failed, kept and failed_rules (the metrics beyond their thresholds), a row for each row of docs.
 
     A row that fails a base rule (fewer than 50 words, or more than half of them in repeated windows) is not kept; any
-    other is kept unless a metric stands outside the fences of its language and source. Null texts count as empty; a
+    other is kept unless a metric stands outside the fences of its language and source, if there are enough values for
+    fences. Null texts count as empty; a
     null language or source is a group of its own; ties with a threshold are kept; an empty table gives an empty one;
     columns beyond doc_id, text, lang, source are ignored.
     """
     rows = cut(measured(docs))
     limits = cut(thresholds(sketches(rows))).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    outside = [F.when((v > F.col(f"high_{m}")) | (v < F.col(f"low_{m}")), F.lit(m)) for m, v in _values().items()]
+    outside = [F.when(F.coalesce((v > F.col(f"high_{m}")) | (v < F.col(f"low_{m}")), F.lit(False)), F.lit(m)) for m, v in _values().items()]
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.join(limits, same, "left").withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*outside))})
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
@@ -140,19 +166,25 @@ _PARTS = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols"
 def _oracle() -> str:
     values = ", ".join(f"CASE WHEN {b} = 0 THEN 0 ELSE {by} * {a} // {b} END AS {m}" for m, (a, b, by) in _PARTS.items())
     union = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS value FROM v WHERE n_words > 0" for m in METRICS)
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in METRICS.items()) + " END"
+    reach = f"{FENCE} * (q3 - q1)"
 
     def level(name: str, by: str) -> str:
         keys, comma = by, ", " if by else ""
+        enough = lambda kind: f"positive >= {MIN_POSITIVE}" if kind == "positive" else f"rows_ >= {MIN_GROUP}" if by else "true"
+        upper = {"positive": f"p2 * pow(greatest(p3 / p1, {LEAST_RATIO}::DOUBLE), {REACH!r}::DOUBLE)", "high": f"q3 + {reach} + {TOLERANCE}", "both": f"q3 + {reach}"}
+        high = "CASE " + " ".join(f"WHEN metric = '{m}' AND {enough(kind)} THEN {upper[kind]}" for m, kind in METRICS.items()) + " END"
+        low = "CASE " + " ".join(f"WHEN metric = '{m}' AND {enough(kind)} THEN {'q1 - ' + reach if kind == 'both' else -1}" for m, kind in METRICS.items()) + " END"
+        above = lambda q: f"min(CASE WHEN bucket > 0 AND up_to - zeros > floor((rows_ - zeros - 1) * {q}) THEN val END)"
         return f"""
 {name}m AS (SELECT {keys}{comma}metric, bucket, sum(n)::BIGINT AS n FROM k GROUP BY {keys}{comma}metric, bucket),
 {name}w AS (SELECT *, sum(n) OVER (PARTITION BY {keys}{comma}metric ORDER BY bucket) AS up_to,
       sum(n) OVER (PARTITION BY {keys}{comma}metric) AS rows_,
+      sum(CASE WHEN bucket = 0 THEN n ELSE 0 END) OVER (PARTITION BY {keys}{comma}metric) AS zeros,
       CASE WHEN bucket = 0 THEN 0.0::DOUBLE ELSE 2 * pow({GAMMA!r}::DOUBLE, bucket) / ({GAMMA!r}::DOUBLE + 1) END AS val FROM {name}m),
-{name}q AS (SELECT {keys}{comma}metric, max(rows_) AS rows_, min(CASE WHEN up_to > floor((rows_ - 1) * 0.25) THEN val END) AS q1,
-      min(CASE WHEN up_to > floor((rows_ - 1) * 0.75) THEN val END) AS q3 FROM {name}w GROUP BY {keys}{comma}metric),
-{name}t AS (SELECT {keys}{comma}metric, rows_, q3 + {FENCE} * (q3 - q1) + {slack} AS high,
-      CASE WHEN metric = 'word_length' THEN q1 - {FENCE} * (q3 - q1) - {slack} ELSE -1 END AS low FROM {name}q)"""
+{name}q AS (SELECT {keys}{comma}metric, max(rows_) AS rows_, max(rows_ - zeros) AS positive,
+      min(CASE WHEN up_to > floor((rows_ - 1) * 0.25) THEN val END) AS q1, min(CASE WHEN up_to > floor((rows_ - 1) * 0.75) THEN val END) AS q3,
+      {above(0.25)} AS p1, {above(0.5)} AS p2, {above(0.75)} AS p3 FROM {name}w GROUP BY {keys}{comma}metric),
+{name}t AS (SELECT {keys}{comma}metric, {high} AS high, {low} AS low FROM {name}q)"""
 
     bad = " OR ".join(f"coalesce({m} > max(h) FILTER (WHERE metric = '{m}') OR {m} < max(lo) FILTER (WHERE metric = '{m}'), false)" for m in METRICS)
     return rf"""
@@ -170,8 +202,7 @@ u AS ({union}),
 k AS (SELECT lang, source, metric, CASE WHEN value <= 0 THEN 0 ELSE ceil(ln(value) / {math.log(GAMMA)!r}::DOUBLE) END::INT AS bucket,
         count(*) AS n FROM u GROUP BY ALL),
 {level("s", "lang, source")},{level("l", "lang")},{level("e", "")},
-f AS (SELECT st.lang, st.source, st.metric, CASE WHEN st.rows_ >= {MIN_GROUP} THEN st.high WHEN lt.rows_ >= {MIN_GROUP} THEN lt.high ELSE et.high END AS h,
-        CASE WHEN st.rows_ >= {MIN_GROUP} THEN st.low WHEN lt.rows_ >= {MIN_GROUP} THEN lt.low ELSE et.low END AS lo
+f AS (SELECT st.lang, st.source, st.metric, coalesce(st.high, lt.high, et.high) AS h, coalesce(st.low, lt.low, et.low) AS lo
       FROM st JOIN lt ON st.lang IS NOT DISTINCT FROM lt.lang AND st.metric = lt.metric JOIN et ON st.metric = et.metric),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v),
 x AS (SELECT id, {bad} AS bad FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
