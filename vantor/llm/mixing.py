@@ -13,8 +13,8 @@ MAX_EPOCHS = 3
 SLOTS = 1 << 17
 #: A source whose target has fewer blocks than this gives that target to the word, its last block being cut.
 FEW_BLOCKS = 1 << 10
-#: A source's shuffled order is laid out in so many parts, so that no task holds a whole source.
-PARTS = 256
+#: A source's shuffled order is laid out in parts by so many hexadecimal digits, 4,096, so that no task holds a whole source.
+PARTS_DIGITS = 3
 GOLDEN = 0.6180339887498949
 #: Ranges of the unit interval by which slots find their source.
 CELLS = 4096
@@ -24,16 +24,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _key(doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _key(doc_id: Column, text: Column) -> Column:
+    """What orders a source; it holds the text's hash, so that rows without an id or with one id are spread."""
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 class Mix:
     """The parts of a mix; each is a DataFrame, all follow from one aggregate of the sizes by source and part."""
 
     def __init__(self, docs: DataFrame) -> None:
-        self.sized = docs.withColumns({"__size": n_words(F.col("text")), "__key": _key(F.col("doc_id"))})
-        self.sized = self.sized.withColumn("__part", F.conv(F.substring("__key", 1, 2), 16, 10).cast("int"))
+        self.sized = docs.withColumns({"__size": n_words(F.col("text")), "__key": _key(F.col("doc_id"), F.col("text"))})
+        self.sized = self.sized.withColumn("__part", F.conv(F.substring("__key", 1, PARTS_DIGITS), 16, 10).cast("int"))
         self.parts = cut(self.sized.groupBy(F.col("source").alias("__source"), "__part").agg(F.sum("__size").alias("__words")))
         self.sources, self.block = self._targets()
         self.slots = self._slots()
@@ -134,7 +135,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id, source, text; other columns are ignored. Null and empty texts have no words and are never
     taken; a null source is one more source, last in order; rows that repeat an id are placed one after the other; an
-    empty table gives an empty one. The order within a source depends on doc_id only, so that reruns agree.
+    empty table gives an empty one. The order within a source depends on doc_id and text alone, so that reruns agree.
     """
     mix = Mix(docs.select("doc_id", "source", "text"))
     placed = mix.placed()
@@ -157,7 +158,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS s FROM s0),
 s2 AS (SELECT *, CASE s % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 3 AS cap FROM s1),
@@ -172,7 +173,8 @@ s7 AS (SELECT *, coalesce(lag(high) OVER (ORDER BY s), 0) AS low FROM s6),
 p AS (SELECT i, (i + 0.5::DOUBLE) * {GOLDEN}::DOUBLE - floor((i + 0.5::DOUBLE) * {GOLDEN}::DOUBLE) AS u
       FROM (SELECT unnest(range(0, (total + block - 1) // block)) AS i FROM b)),
 g AS (SELECT s, count(*) AS n FROM p JOIN s7 ON u >= low AND u < high AND target > 0 GROUP BY s),
-l AS (SELECT s7.s, s7.source, source_size, target, least(coalesce(n, 0) * block, 3 * source_size)::BIGINT AS lim
+l AS (SELECT s7.s, s7.source, source_size, target,
+             least(CASE WHEN target < {FEW_BLOCKS} * block THEN round(target) ELSE coalesce(n, 0) * block END, 3 * source_size)::BIGINT AS lim
       FROM s7 LEFT JOIN g USING (s), b),
 a AS (SELECT d.doc_id, d.size, l.*, coalesce(sum(d.size) OVER (PARTITION BY l.s ORDER BY k, d.doc_id, d.size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos

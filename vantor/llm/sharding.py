@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARDS = 40
-#: Source partitions (rows by hash of their id), and parts of a shard's final order. Both bound tables, not data.
+#: Source partitions (rows by hash of id and text, so that rows without an id or with one id are spread), and parts of a shard's final order. Both bound tables, not data.
 BLOCKS = 4096
 PARTS = 256
 SEED = 20_259
@@ -56,7 +56,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, checksum: str
     """
     spark = docs.sparkSession
     crc = F.coalesce(F.crc32(F.col("text")), F.lit(-1)) if checksum is None else F.col(checksum)
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", crc, F.lit(seed)), F.lit(BLOCKS)).cast("int")
     counts = {r[0]: r[1] for r in docs.groupBy(block.alias("b")).count().collect()}  # BLOCKS rows at most
     order = sorted(counts)
     n = sum(counts.values())
