@@ -137,6 +137,41 @@ def line_groups(rows):
     return gone, links
 
 
+@pytest.mark.parametrize("metric", ["word_length", "symbols", "dup_lines", "repeats"])
+def test_each_fence_alone_rejects(spark, metric):
+    """A text that passes the base rules goes for one metric, by which it stands far from its source; all others stay."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+
+    def ordinary(k):
+        lines = [" ".join(word() for _ in range(20)) for _ in range(20)]
+        if k % 3 == 0 and metric != "repeats":  # one line or two stand twice, as is usual here
+            lines[5] = lines[6]
+        if k % 6 == 0 and metric != "repeats":
+            lines[7] = lines[8]
+        if k % 3 == 1:
+            lines[9] += " " + " ".join(lines[10].split()[: rng.randrange(3, 7)])
+        return lines
+
+    lines = ordinary(2)
+    if metric == "word_length":
+        lines = [x.replace(" ", "longer ") for x in lines]
+    if metric == "symbols":
+        lines = [x.replace(" ", "# ", 4) for x in lines]
+    if metric == "dup_lines":
+        lines = lines[:2] + [lines[0].split()[0] + "."] * 15  # words of these lines are no tenth of the text
+        lines[:2] = [" ".join(word() for _ in range(150)) for _ in range(2)]
+    if metric == "repeats":
+        lines[10:13] = [" ".join(lines[k].split()[::-1]) for k in range(3)]
+        lines[13:17] = [f"{word()} " + lines[k] for k in range(4)]
+    rows = [(k, "\n".join(ordinary(k)), "en", "s") for k in range(600)] + [(1000, "\n".join(lines), "en", "s")]
+    got = {r.doc_id: (r.base_failed, r.kept, list(r.failed_rules)) for r in quality_rules.filter_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got.pop(1000) == (False, False, [metric])
+    assert sum(not v[1] for v in got.values()) <= 3
+
+
 VOCABULARY = [f"{a}{b}{c}{d}" for a in "bdfg" for b in "aeiou" for c in "klmnr" for d in ("", "ing", "ation", "ster", "a")]
 
 
@@ -176,7 +211,7 @@ def test_line_dedup_recall_of_links(spark, docs):
     from pyspark.sql import functions as F
 
     keys = line_dedup.distinct_lines(docs).select("id", line_dedup._keys().alias("keys")).dropDuplicates(["id"])
-    texts = docs.select(line_dedup.normalised(F.explode(line_dedup._lines(F.col("text"))["x"])).alias("t")).distinct()
+    texts = docs.select(F.explode(line_dedup._lines(F.col("text"))["x"]).alias("x")).select(line_dedup.normalised(F.col("x")).alias("t")).distinct()
     lines = keys.join(texts.select(F.xxhash64("t").alias("id"), "t"), "id").cache()
     a, b = lines.toDF("a", "ka", "ta"), lines.toDF("b", "kb", "tb")
     most = F.floor(F.greatest(F.length("ta"), F.length("tb")) * 0.2).cast("int")
