@@ -20,10 +20,10 @@ MAX_LABELLED = 20_000
 MAX_EXAMPLES = 4_000
 NEIGHBOURS = 15
 #: Terms are words and their beginnings of so many bytes, hashed to so many dimensions; 0 stands for no term.
-PREFIXES = (4, 6)
+PREFIXES = (3, 4, 6)
 DIMENSIONS = 1 << 20
 #: A term whose examples' labels deviate by more standard errors than this weighs more, by the square.
-DEVIATION = 3.0
+DEVIATION = 2.0
 #: Examples of a block; a term that one example in FREQUENT has is kept as a dense row with the largest weight of each block.
 BLOCK, FREQUENT = 64, 20
 #: Texts that are scored at once, words that a task remembers.
