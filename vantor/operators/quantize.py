@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vantor.functions.distance import distance, hadamard
-from vantor.operators.search import batch_vectors, ranked
+from vantor.functions.distance import distance, hadamard, l2_normalize
+from vantor.operators.search import TILE, batch_vectors, ranked, slices
 
 SEED = 42
+#: Candidates for each row that is wanted; one-bit codes of 64 dimensions need so many for a recall of 0.85.
+SHORTLIST = 30
 
 
 def fit_ranges(vectors: DataFrame, vector_col: str = "vector") -> DataFrame:
@@ -101,32 +103,40 @@ class OneBit:
     """One-bit codes of rotated residuals, with the two factors that make them distance estimates.
 
     For a row v with centre c, r = R(v - c) and the unit code s = sign(r) / sqrt(dim), the inner product of a rotated
-    query residual q with r is about <q, s> * |r|**2 / <r, s>.
+    query residual q with r is about <q, s> * |r|**2 / <r, s>. For cosine, unit is set: rows and queries are normalised
+    before anything else.
     """
 
     centre: np.ndarray
     rotation: np.ndarray
+    unit: bool = False
 
     @staticmethod
-    def fit(vectors: DataFrame, dim: int, vector_col: str = "vector", seed: int = SEED) -> OneBit:
+    def fit(vectors: DataFrame, dim: int, vector_col: str = "vector", seed: int = SEED, unit: bool = False) -> OneBit:
         """The centre is the mean over all rows: one row a dimension comes to the driver."""
-        rows = vectors.select(F.posexplode(vector_col).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()
+        vector = l2_normalize(vector_col) if unit else F.col(vector_col)
+        rows = vectors.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()
         centre = np.zeros(dim)
         for r in rows:
             centre[r.dim] = r.m
-        return OneBit(centre, matrix_rotation(dim, seed))
+        return OneBit(centre, matrix_rotation(dim, seed), unit)
+
+    def _own(self, v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30) if self.unit else v
 
     def encode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(packed bits, squared norm of the residual, |r|**2 / <r, s>)."""
-        r = (v.astype(np.float64) - self.centre) @ self.rotation.T
+        r = (self._own(v) - self.centre) @ self.rotation.T
         norm2 = (r * r).sum(axis=1)
         along = np.abs(r).sum(axis=1) / np.sqrt(r.shape[1])
         return np.packbits(r > 0, axis=1), norm2, np.divide(norm2, along, out=np.zeros_like(norm2), where=along > 0)
 
     def estimate(self, queries: np.ndarray, bits: np.ndarray, norm2: np.ndarray, factor: np.ndarray, metric: str = "l2") -> np.ndarray:
-        """Estimated distances, queries by rows; for cosine rows and queries should be normalised."""
+        """Estimated distances, queries by rows; for cosine the model must be a unit one."""
         dim = len(self.centre)
-        q = (queries.astype(np.float64) - self.centre) @ self.rotation.T
+        queries = self._own(queries)
+        q = (queries - self.centre) @ self.rotation.T
         s = np.unpackbits(bits, axis=1, count=dim).astype(np.float64) * 2 - 1
         dot = (q @ s.T) / np.sqrt(dim) * factor[None, :]
         l2 = (q * q).sum(axis=1)[:, None] + norm2[None, :] - 2 * dot
@@ -135,7 +145,7 @@ class OneBit:
         # <q, v> = <q - c, v - c> + <q, c> + <c, v> - <c, c>; <c, v> is taken as <c, c> plus its residual's estimate
         c = self.rotation @ self.centre
         cv = ((c[None, :] @ s.T) / np.sqrt(dim) * factor[None, :]).ravel()
-        return -(dot + queries.astype(np.float64) @ self.centre[:, None] + cv[None, :])
+        return -(dot + queries @ self.centre[:, None] + cv[None, :])
 
 
 def onebit_encode(vectors: DataFrame, model: OneBit, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -150,27 +160,31 @@ def onebit_encode(vectors: DataFrame, model: OneBit, id_col: str = "id", vector_
     return vectors.select(id_col, vector_col).mapInArrow(run, f"{id_col} {kind}, bits binary, norm2 double, factor double")
 
 
-def two_stage_search(vectors: DataFrame, coded: DataFrame, model: OneBit, queries: DataFrame, limit: int, metric: str = "l2", shortlist: int = 10, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def two_stage_search(vectors: DataFrame, coded: DataFrame, model: OneBit, queries: DataFrame, limit: int, metric: str = "l2", shortlist: int = SHORTLIST, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Nearest rows: limit * shortlist candidates a query by estimate from the codes, then exact distances of these.
 
-    The first stage reads codes only, an eighth of a bit a coordinate's byte; just the candidates' vectors are joined.
+    The first stage reads codes only, an eighth of a bit a coordinate's byte, against slices of queries of bounded
+    size; just the candidates' vectors are joined. For cosine the model should be a unit one.
     """
-    rows = [(r[0], r[1]) for r in queries.select("query_id", "query").collect()]  # the caller's query set
-    q, n = np.array([r[1] for r in rows], dtype=np.float32), limit * shortlist
-    ids = pa.array([r[0] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
+    n, guesses = limit * shortlist, None
     kind, query_kind = (coded.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString())
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            d = model.estimate(q, bits, batch.column(2).to_numpy(), batch.column(3).to_numpy(), metric)
-            best = np.argsort(d, axis=1, kind="stable")[:, :n]
-            columns = [ids.take(pa.array(np.repeat(np.arange(len(q)), best.shape[1]))), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(d, best, 1).ravel().astype(np.float32))]
-            yield pa.record_batch(columns, names=["query_id", id_col, "distance"])
-
-    guesses = coded.select(id_col, "bits", "norm2", "factor").mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, distance float")
+    for ids, q in slices(queries):
+        asked = pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType))
+
+        def run(batches: Iterable[pa.RecordBatch], q: np.ndarray = q, asked: pa.Array = asked) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+                step = max(1, TILE // max(1, batch.num_rows))
+                for at in range(0, len(q) if batch.num_rows else 0, step):
+                    d = model.estimate(q[at : at + step], bits, batch.column(2).to_numpy(), batch.column(3).to_numpy(), metric)
+                    best = np.argsort(d, axis=1, kind="stable")[:, :n]
+                    columns = [asked.take(pa.array(np.repeat(np.arange(at, at + len(d)), best.shape[1]))), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(d, best, 1).ravel().astype(np.float32))]
+                    yield pa.record_batch(columns, names=["query_id", id_col, "distance"])
+
+        found = coded.select(id_col, "bits", "norm2", "factor").mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, distance float")
+        guesses = found if guesses is None else guesses.unionByName(found)
+    if guesses is None:
+        guesses = coded.join(queries.limit(0).select("query_id")).select("query_id", id_col, F.lit(0.0).cast("float").alias("distance"))
     short = ranked(guesses, n, id_col).select("query_id", id_col)
     exact = short.join(vectors.select(id_col, vector_col), id_col).join(queries, "query_id")
     return ranked(exact.select("query_id", id_col, distance("query", vector_col, metric).alias("distance")), limit, id_col)

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from vantor.errors import InvalidArgument, ResourceExhausted
 from vantor.functions.distance import METRICS, distance, distance_matrix
+from vantor.sources.shared import cut
 
 #: Queries that one pass over the collection carries to the executors, as an Arrow closure of bounded size.
 MAX_QUERIES = 8_192
@@ -52,7 +53,7 @@ def search(collection: DataFrame, queries: DataFrame, limit: int, metric: str =
         return ranked(scored, limit, id_col)
     if strategy != "arrow":
         raise InvalidArgument(f"unknown strategy {strategy!r}")
-    parts = [_scored(rows, ids, q, limit, metric, id_col, vector_col, queries) for ids, q in _slices(queries)]
+    parts = [_scored(rows, ids, q, limit, metric, id_col, vector_col, queries) for ids, q in slices(queries)]
     if not parts:
         return ranked(rows.join(queries.limit(0).select("query_id")).select("query_id", id_col, F.lit(0.0).cast("float").alias("distance")), limit, id_col)
     out = parts[0]
@@ -61,7 +62,7 @@ def search(collection: DataFrame, queries: DataFrame, limit: int, metric: str =
     return ranked(out, limit, id_col)
 
 
-def _slices(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+def slices(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """Queries in slices of at most MAX_QUERIES and MAX_QUERY_BYTES, streamed a partition at a time."""
     ids, vectors, held = [], [], 0
     for r in queries.select("query_id", "query").toLocalIterator():
@@ -100,11 +101,14 @@ def _scored(rows: DataFrame, ids: list, q: np.ndarray, limit: int, metric: str,
     return rows.mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, distance float")
 
 
-def completeness(hits: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(query_id, valid_count, completeness): complete_k with `limit` hits, else eligible_exhausted; queries without hits too."""
+def completeness(hits: DataFrame, queries: DataFrame, limit: int, incomplete: bool = False) -> DataFrame:
+    """(query_id, valid_count, completeness): complete_k with `limit` hits, else eligible_exhausted; queries without hits too.
+
+    incomplete: the search gave up before it had seen all that is eligible, so fewer hits are strategy_incomplete.
+    """
     n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
     out = queries.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("valid_count"))
-    return out.withColumn("completeness", F.when(F.col("valid_count") >= limit, "complete_k").otherwise("eligible_exhausted"))
+    return out.withColumn("completeness", F.when(F.col("valid_count") >= limit, "complete_k").otherwise("strategy_incomplete" if incomplete else "eligible_exhausted"))
 
 
 def csr(hits: DataFrame, queries: DataFrame, id_col: str = "id") -> DataFrame:
@@ -112,8 +116,14 @@ def csr(hits: DataFrame, queries: DataFrame, id_col: str = "id") -> DataFrame:
     lists = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", id_col, "distance"))).alias("h"))
     out = queries.select("query_id").join(lists, "query_id", "left")
     out = out.select("query_id", F.coalesce(F.transform("h", lambda x: x[id_col]), F.array()).alias("ids"), F.coalesce(F.transform("h", lambda x: x["distance"]), F.array()).alias("distances"))
-    order = Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
+    # sums run within ranges of queries; each adds those of the ranges before its own, a row for each range
+    n = max(1, min(1024, int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    out = cut(out.repartitionByRange(n, "query_id").withColumn("__p", F.spark_partition_id()))
+    order = Window.partitionBy("__p").orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("next_offset", F.sum(F.size("ids")).over(order))
+    sums = out.groupBy("__p").agg(F.max("next_offset").alias("__n"))
+    before = sums.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = out.join(F.broadcast(before), "__p").withColumn("next_offset", F.col("next_offset") + F.col("__before")).drop("__p", "__before")
     return out.withColumn("offset", F.col("next_offset") - F.size("ids"))
 
 
@@ -165,18 +175,21 @@ def preflight(n_queries: int, live: int, limit: int, dim: int, budget_bytes: int
     return need
 
 
-def overfetch(found: Callable[[int], DataFrame], admitted: DataFrame, limit: int, rounds: int = 4, id_col: str = "id") -> DataFrame:
+def overfetch(found: Callable[[int], DataFrame], admitted: DataFrame, limit: int, rounds: int = 4, id_col: str = "id", report: dict | None = None) -> DataFrame:
     """The best `limit` admitted rows of an approximate search that knows no filter: found(n) gives its first n hits a query.
 
     n doubles while some query has too few that are admitted and its hits aren't exhausted, for so many more rounds.
+    report gets the number of rounds, and whether some query is still short.
     """
+    report = {} if report is None else report
     n = limit
     for k in range(rounds + 1):
         hits = found(n)
         kept = hits.join(admitted.select(id_col).distinct(), id_col, "left_semi")
         counts = hits.groupBy("query_id").agg(F.count("*").alias("all")).join(kept.groupBy("query_id").agg(F.count("*").alias("ok")), "query_id", "left")
         short = counts.where((F.coalesce("ok", F.lit(0)) < limit) & (F.col("all") >= n))
-        if k == rounds or short.limit(1).count() == 0:
+        report |= {"overfetch_rounds": k, "short": short.limit(1).count() > 0}
+        if k == rounds or not report["short"]:
             return ranked(kept.select("query_id", id_col, "distance"), limit, id_col)
         n *= 2
     raise AssertionError("not reached")

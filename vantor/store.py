@@ -9,10 +9,13 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +24,15 @@ from vantor.errors import Closed, Conflict, EngineError, InvalidArgument, NotFou
 from vantor.functions.filters import compile_map_filter
 from vantor.operators import search as s
 from vantor.operators.mutations import FAILED, latest, numbered, receipts, statuses
-from vantor.operators.quantize import OneBit, matrix_rotation, onebit_encode, two_stage_search
+from vantor.operators.quantize import SHORTLIST, OneBit, matrix_rotation, onebit_encode, two_stage_search
 from vantor.sources.shared import Files, cut
 
 CELL = "struct<b:boolean,i:bigint,d:double,s:string>"
 RECEIPT = "pos long, id string, status string, batch_op_id long, row_op_id long, visibility_watermark long, searchable boolean"
 #: A graph index wants more rows than this.
 MIN_GRAPH_ROWS = 32
-SHORTLIST = 10
+#: Idempotency keys that a manifest holds itself, ledger files that it names, before they are merged.
+MAX_KEYS, MAX_LEDGERS = 256, 16
 
 
 def cell(value: bool | float | str) -> tuple:
@@ -42,7 +46,10 @@ def connect(spark: SparkSession, path: str | None = None, read_only: bool = Fals
     if path in (None, ":memory:"):
         if read_only:
             raise InvalidArgument("a temporary engine can't be read-only")
-        path = tempfile.mkdtemp(prefix="vantor-")
+        shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local["):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that all executors share, or give a path")
+        path = tempfile.mkdtemp(prefix="vantor-") if shared is None else f"{shared.rstrip('/')}/collections-{uuid.uuid4().hex}"
     engine = Engine(spark, path.rstrip("/"), read_only)
     if read_only and not engine.files.exists(engine.path):
         raise NotFound(f"{path} does not exist", "open")
@@ -59,9 +66,16 @@ class SearchResult:
     watermark: int
     plan: str
     effort: int | None
+    report: dict
+    visible: DataFrame
+    admitted: DataFrame
 
     def completeness(self) -> DataFrame:
-        return s.completeness(self.hits, self.queries, self.limit)
+        return s.completeness(self.hits, self.queries, self.limit, self.report["short"] or bool(self.report["segments_failed"]))
+
+    def stats(self) -> dict:
+        """What the search did, as far as that is the same each time; rows are counted when this is asked for."""
+        return {k: v for k, v in self.report.items() if k != "short"} | {"strategy": self.plan, "filter_examined": self.visible.count(), "filter_passed": self.admitted.count(), "reranked": self.report["candidates"]}
 
     def csr(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(ids, distances, offsets) of all queries, on the driver."""
@@ -147,7 +161,9 @@ class Collection:
     def __init__(self, engine: Engine, name: str, read_only: bool) -> None:
         self.engine, self.name, self.read_only, self.closed = engine, name, read_only, False
         self.spark, self.files, self.path = engine.spark, engine.files, f"{engine.path}/{name}"
-        self.config = c.CollectionConfig.from_dict(json.loads(self.files.read(f"{self.path}/schema.json")))
+        self._ledgers: dict[str, dict] = {}
+        # rebuild_index() changes the configuration with the version that has the new index
+        self.config = c.CollectionConfig.from_dict(self._manifest().get("config") or json.loads(self.files.read(f"{self.path}/schema.json")))
         self.schema = f"id string, seq bigint, op string, vector array<{self.config.element}>, document string, metadata map<string,{CELL}>"
 
     # versions
@@ -202,6 +218,11 @@ class Collection:
         found = self.records().select(*columns)
         return asked.join(found, F.col("wanted") == F.col("id"), "left").withColumn("found", F.col("id").isNotNull()).drop("id").orderBy("pos")
 
+    def info(self) -> dict:
+        """The configuration, what it is stored as, and the version that reads see."""
+        m = self._manifest()
+        return {"config": self.config.to_dict(), "format": "parquet", "version": m["version"], "segments": len(m["segments"]), "coded_segments": sum("codes" in x for x in m["segments"])}
+
     def count(self) -> int:
         return self.records().count()
 
@@ -218,8 +239,13 @@ class Collection:
     def search(self, queries: object, limit: int = 10, where: dict | None = None, effort: int | None = None, filter_policy: str = "auto", selectivity_hint: float | None = None, scratch_bytes: int | None = None) -> SearchResult:
         """The nearest records of one vector or a matrix of them; queries are numbered in order.
 
-        Filters are applied before distances, so answers are exact over what passes. With a graph index, sealed rows
-        are found by one-bit codes and then measured exactly, unsealed rows are all measured.
+        Without a graph index answers are exact over what passes the filter. With one, unsealed rows are all measured;
+        of sealed rows candidates are found by one-bit codes and then measured exactly. By the filter's selectivity (the
+        hint, or that of the first rows in order of id) all that passes is measured (prefilter, and always if
+        filter_policy is strict), only codes of what passes are looked at (traversal), or the hits of an unfiltered
+        search are filtered, with twice as many while they don't suffice (postfilter); where these end short, what
+        passes is measured after all, unless filter_policy is allow_partial. allow_partial also goes on without
+        segments that can't be read.
         """
         self._require()
         c.positive_int(limit, "limit")
@@ -231,26 +257,61 @@ class Collection:
             raise InvalidArgument("selectivity_hint must lie in [0, 1]")
         asked = self.spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(q)], "query_id int, query array<float>")
         m = self._manifest()
+        partial = filter_policy == "allow_partial"
+        m, failed = self._readable(m) if partial else (m, [])
         if scratch_bytes is not None:
             s.preflight(len(q), self.count(), limit, self.config.dimension, scratch_bytes)
-        rows = self.records(manifest=m)
-        if where:
-            rows = rows.where(compile_map_filter(where))
-        plan = "none" if not where else "prefilter"
-        rows = rows.select("id", "version", F.col("vector").cast("array<float>").alias("vector"))
+        records = self.records(manifest=m)
+        columns = ["id", "version", F.col("vector").cast("array<float>").alias("vector")]
+        visible = records.select(*columns)
+        admitted = records.where(compile_map_filter(where)).select(*columns) if where else visible
         coded = [x for x in m["segments"] if "codes" in x]
+        report = {"segments": len(m["segments"]), "segments_failed": failed, "selectivity": None, "overfetch_rounds": 0, "candidates": 0, "short": False}
+        exact = lambda rows: s.search(rows, asked, limit, self.config.metric)
+        done = lambda hits, plan: SearchResult(hits, asked, limit, m["watermark"], plan, effort, report, visible, admitted)
         if not coded:
-            return SearchResult(s.search(rows, asked, limit, self.config.metric), asked, limit, m["watermark"], plan, effort)
+            return done(exact(admitted), "prefilter" if where else "postfilter")
+        plan = "postfilter"
+        if where:
+            share = selectivity_hint
+            if share is None and filter_policy != "strict":
+                share = s.selectivity(records, compile_map_filter(where)).first().selectivity
+            report["selectivity"] = share
+            plan = self.spark.range(1).select(s.filter_plan(share or 0.0, strict=filter_policy == "strict").alias("p")).first().p
+        if plan == "prefilter":
+            return done(exact(admitted), plan)
+        report["candidates"] = limit * max(SHORTLIST, -(-effort // limit)) * len(coded) * len(q)
+        if not where or plan == "traversal":
+            return done(self._coded(m, coded, admitted, asked, limit, effort), plan)
+        hits = s.overfetch(lambda n: self._coded(m, coded, visible, asked, n, effort), admitted, limit, report=report)
+        if report["short"] and not partial:
+            report["short"] = False
+            return done(exact(admitted), "prefilter")
+        return done(hits, plan)
+
+    def _coded(self, m: dict, coded: list[dict], rows: DataFrame, asked: DataFrame, limit: int, effort: int) -> DataFrame:
+        """The nearest of rows: through their codes where they have some, else exactly."""
         parts, rest = [], rows
         for x in coded:
             codes = self.spark.read.parquet(f"{self.path}/{x['codes']}")
             own = rows.join(codes.select("id", F.col("seq").alias("version")), ["id", "version"], "left_semi")
             alive = codes.join(rows.select("id", F.col("version").alias("seq")), ["id", "seq"], "left_semi")
-            model = OneBit(np.array(x["centre"]), matrix_rotation(self.config.dimension))
+            model = OneBit(np.array(x["centre"]), matrix_rotation(self.config.dimension), x.get("unit", False))
             parts.append(two_stage_search(own, alive, model, asked, limit, self.config.metric, max(SHORTLIST, -(-effort // limit))))
             rest = rest.join(codes.select("id", F.col("seq").alias("version")), ["id", "version"], "left_anti")
         parts.append(s.search(rest, asked, limit, self.config.metric))
-        return SearchResult(s.merge_segments(parts, limit), asked, limit, m["watermark"], plan, effort)
+        return s.merge_segments(parts, limit)
+
+    def _readable(self, m: dict) -> tuple[dict, list[str]]:
+        """The manifest without segments whose files can't be opened, and their paths."""
+        failed = []
+        for x in m["segments"]:
+            try:
+                for path in _paths([x]):
+                    self.spark.read.parquet(f"{self.path}/{path}")
+            except (AnalysisException, Py4JJavaError):
+                failed.append(x["path"])
+        return m | {"segments": [x for x in m["segments"] if x["path"] not in failed]}, failed
 
     # writes
 
@@ -276,14 +337,20 @@ class Collection:
         return self.write(rows, "delete", mode, idempotency_key)
 
     def delete_where(self, where: dict, batch_size: int = 1000) -> dict:
-        """Tombstones for all records that match now: matched, deleted, not_found and the number of batches."""
+        """Tombstones for all records that match now, in batches of batch_size ids, each a commit of its own.
+
+        Returns matched, deleted, not_found (rows that were gone when their batch came) and the number of batches.
+        """
         c.positive_int(batch_size, "batch_size")
         if not where:
             raise InvalidArgument("delete_where needs a filter")
         ids = cut(numbered(self.records().where(compile_map_filter(where)).select("id"), ["id"], "pos"))
         n = ids.count()
-        done = self.write(ids, "delete", "partial").groupBy("status").count() if n else None
-        found = {r["status"]: r["count"] for r in done.collect()} if n else {}  # a row a status
+        found: dict[str, int] = {}
+        for at in range(0, n, batch_size):
+            batch = ids.where((F.col("pos") >= at) & (F.col("pos") < at + batch_size)).select("id", (F.col("pos") - at).alias("pos"))
+            for r in self.write(batch, "delete").groupBy("status").count().collect():  # a row a status
+                found[r["status"]] = found.get(r["status"], 0) + r["count"]
         return {"matched": n, "deleted": found.get("deleted", 0), "not_found": found.get("not_found", 0), "batches": -(-n // batch_size)}
 
     def write(self, rows: DataFrame, op: str, mode: str = "atomic", idempotency_key: str | None = None) -> DataFrame:
@@ -298,8 +365,8 @@ class Collection:
         if idempotency_key is not None and (not isinstance(idempotency_key, str) or not idempotency_key):
             raise InvalidArgument("idempotency_key must be None or a non-empty string")
         m = self._manifest()
-        if idempotency_key in m["keys"]:
-            return self.spark.read.schema(RECEIPT).parquet(f"{self.path}/{m['keys'][idempotency_key]}").orderBy("pos")
+        if idempotency_key is not None and (before := self._receipts_of(m, idempotency_key)):
+            return self.spark.read.schema(RECEIPT).parquet(f"{self.path}/{before}").orderBy("pos")
         valid = F.lit(True)
         if op != "delete":
             valid = F.coalesce((F.size("vector") == self.config.dimension) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double"))), F.lit(False))
@@ -319,7 +386,7 @@ class Collection:
             changes |= {"segments": [*m["segments"], {"path": f"log/{name}", "kind": "log", "rows": total["ok"]}], "watermark": total["last"], "durable": total["last"]}
         if idempotency_key is not None:
             done.write.parquet(f"{self.path}/receipts/{name}")
-            changes["keys"] = m["keys"] | {idempotency_key: f"receipts/{name}"}
+            changes |= self._with_key(m, idempotency_key, f"receipts/{name}")
         try:
             new = self._commit(m, **changes)
         except Conflict:
@@ -334,6 +401,31 @@ class Collection:
                 pass
         return done.orderBy("pos")
 
+    def _receipts_of(self, m: dict, key: str) -> str | None:
+        """Where the receipts of a batch with this key are, if there was one."""
+        if key in m["keys"]:
+            return m["keys"][key]
+        return next((x[key] for x in map(self._ledger, m.get("ledgers", [])) if key in x), None)
+
+    def _ledger(self, name: str) -> dict:
+        if name not in self._ledgers:
+            self._ledgers[name] = json.loads(self.files.read(f"{self.path}/{name}"))
+        return self._ledgers[name]
+
+    def _with_key(self, m: dict, key: str, receipts_path: str) -> dict:
+        """The manifest's changes for one more key: MAX_KEYS of them go into a file, and MAX_LEDGERS files into one."""
+        keys, ledgers = m["keys"] | {key: receipts_path}, m.get("ledgers", [])
+        if len(keys) > MAX_KEYS:
+            if len(ledgers) >= MAX_LEDGERS:
+                for x in ledgers:
+                    keys = self._ledger(x) | keys
+                ledgers = []
+            name = f"ledger/{uuid.uuid4().hex}.json"
+            self.files.mkdirs(f"{self.path}/ledger")
+            self.files.write(f"{self.path}/{name}", json.dumps(keys))
+            keys, ledgers = {}, [*ledgers, name]
+        return {"keys": keys, "ledgers": ledgers}
+
     # maintenance
 
     def _image(self, rows: DataFrame, with_codes: bool) -> dict:
@@ -344,10 +436,10 @@ class Collection:
         segment = {"path": f"sealed/{name}", "kind": "sealed", "rows": written.count()}
         if with_codes:
             live = written.where("op = 'write'").select("id", "seq", F.col("vector").cast("array<float>").alias("vector"))
-            model = OneBit.fit(live, self.config.dimension)
+            model = OneBit.fit(live, self.config.dimension, unit=self.config.metric == "cosine")
             coded = onebit_encode(live, model).join(live.select("id", "seq"), "id")
             coded.write.parquet(f"{self.path}/sealed/{name}-codes")
-            segment |= {"codes": f"sealed/{name}-codes", "centre": [float(x) for x in model.centre]}
+            segment |= {"codes": f"sealed/{name}-codes", "centre": [float(x) for x in model.centre], "unit": model.unit}
         return segment
 
     def seal(self) -> dict:
@@ -393,19 +485,38 @@ class Collection:
         return {"version": m["version"], "durable_watermark": m["watermark"]}
 
     def collect_garbage(self) -> dict:
-        """Delete what no version that is left refers to, folders of failed writers among it."""
+        """Delete what neither the current version nor a snapshot refers to, folders of failed writers among it.
+
+        What only a snapshot refers to is deferred to a later call.
+        """
         self._require(writing=True)
         m = self._manifest()
         named: set[str] = set()
         for n in self.files.names(f"{self.path}/versions"):
             if n.endswith(".json"):
                 v = json.loads(self.files.read(f"{self.path}/versions/{n}"))
-                named |= set(_paths(v["segments"])) | set(v["keys"].values()) if v["version"] == m["version"] else set()
-        gone = [f"{k}/{x}" for k in ("log", "sealed", "receipts") for x in self.files.names(f"{self.path}/{k}") if f"{k}/{x}" not in named]
+                named |= set(_paths(v["segments"])) if v["version"] == m["version"] else set()
+        named |= set(m["keys"].values()) | set(m.get("ledgers", [])) | {p for x in m.get("ledgers", []) for p in self._ledger(x).values()}
+        pinned = {p for x in self.files.names(f"{self.path}/pins") for p in json.loads(self.files.read(f"{self.path}/pins/{x}"))["paths"]}
+        old = [f"{k}/{x}" for k in ("log", "sealed", "receipts", "ledger") for x in self.files.names(f"{self.path}/{k}") if f"{k}/{x}" not in named]
+        gone = [x for x in old if x not in pinned]
         for x in gone:
             self.files.delete(f"{self.path}/{x}")
-        self._commit(m, retired=[])
-        return {"deleted": len(gone)}
+        self._commit(m, retired=[x for x in old if x in pinned])
+        return {"deleted": len(gone), "deferred": len(old) - len(gone)}
+
+    @contextmanager
+    def snapshot(self) -> Iterator[DataFrame]:
+        """The records as they are now; until the block ends their files are pinned against collect_garbage()."""
+        self._require()
+        m = self._manifest()
+        pin = f"{self.path}/pins/{uuid.uuid4().hex}.json"
+        self.files.mkdirs(f"{self.path}/pins")
+        self.files.write(pin, json.dumps({"version": m["version"], "paths": _paths(m["segments"])}))
+        try:
+            yield self.records(manifest=m)
+        finally:
+            self.files.delete(pin)
 
     def retire_segment(self, path: str) -> None:
         """Take a segment out of the current version."""
@@ -430,8 +541,7 @@ class Collection:
             raise InvalidArgument(f"a graph index needs more than {MIN_GRAPH_ROWS} live rows", "build")
         m = self._manifest()
         segments = [self._image(latest(self.log(m)).where("op = 'write'"), graph)] if n else []
-        m = self._commit(m, segments=segments, retired=m["retired"] + _paths(m["segments"]), history_from=m["watermark"])
-        self.files.write(f"{self.path}/schema.json", json.dumps(new.to_dict()), overwrite=True)
+        m = self._commit(m, segments=segments, retired=m["retired"] + _paths(m["segments"]), history_from=m["watermark"], config=new.to_dict())
         self.config = new
         return {"version": m["version"], "durable_watermark": m["watermark"]}
 
