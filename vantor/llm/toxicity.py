@@ -17,7 +17,7 @@ from vantor.llm.quality_classifier import _sigmoid, fit_logistic
 
 #: Labelled rows whose terms are weighed, examples among them that are indexed, neighbours that vote: absolute bounds.
 MAX_LABELLED = 20_000
-MAX_EXAMPLES = 4_000
+MAX_EXAMPLES = 3_000
 NEIGHBOURS = 15
 #: Terms are words and their beginnings of so many bytes, hashed to so many dimensions; 0 stands for no term.
 PREFIXES = (3, 4, 6)
@@ -25,7 +25,7 @@ DIMENSIONS = 1 << 20
 #: A term whose examples' labels deviate by more standard errors than this weighs more, by the square.
 DEVIATION = 2.0
 #: Examples of a block; a term that one example in FREQUENT has is kept as a dense row with the largest weight of each block.
-BLOCK, FREQUENT = 64, 20
+BLOCK, FREQUENT = 64, 10
 #: Texts that are scored at once, words that a task remembers.
 BATCH, MEMO = 128, 200_000
 
@@ -155,17 +155,20 @@ class Index:
             sums[b, own] = -4
         low = np.partition(sums, -k, axis=1)[:, -k]
         bounds = sums.reshape(len(vectors), self.blocks, BLOCK).max(axis=2) + asked @ self.most
+        need = bounds >= low[:, None] - 1e-5
+        most = need.mean(axis=1) > 0.5  # these take all blocks, which is one product
+        sums[most] += asked[most] @ self.dense
         for block in range(self.blocks):
-            need = np.nonzero(bounds[:, block] >= low - 1e-5)[0]
-            if len(need):
+            rows = np.nonzero(need[:, block] & ~most)[0]
+            if len(rows):
                 part = slice(block * BLOCK, (block + 1) * BLOCK)
-                sums[need, part] += asked[need] @ self.dense[:, part]
-        out = []
-        for s in np.round(sums[:, : len(self.n)].astype(np.float64), 6):
-            least = np.partition(s, -k)[-k]
-            ids = np.nonzero(s >= max(least, 1e-6))[0]
-            ids = ids[np.lexsort((ids, -s[ids]))][:k]
-            out.append((ids, s[ids]))
+                sums[rows, part] += asked[rows] @ self.dense[:, part]
+        out, sums = [], sums[:, : len(self.n)]
+        for s, least in zip(sums, np.partition(sums, -k, axis=1)[:, -k], strict=True):
+            ids = np.nonzero(s >= max(least - 1e-6, 1e-6))[0]
+            cosines = np.round(s[ids].astype(np.float64), 6)
+            order = np.lexsort((ids, -cosines))[:k]
+            out.append((ids[order], cosines[order]))
         return out
 
     def _share(self, ids: np.ndarray, cosines: np.ndarray) -> float:
