@@ -97,3 +97,21 @@ def test_edges(spark, edge_docs, empty_docs):
     assert contaminated(edge_docs, bench.where("false")).count() == 0
     kept = keep_clean(edge_docs, bench)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 3
+
+
+def test_ids_of_other_types(spark):
+    text = " ".join(f"word{k}" for k in range(20))
+    docs = spark.createDataFrame([("a", text), ("b", "nothing")], "doc_id string, text string")
+    bench = spark.createDataFrame([(1.5, text)], "item_id double, text string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()] == [("a", 1.5)]
+    assert [r.doc_id for r in keep_clean(docs, bench).collect()] == ["b"]
+
+
+def test_windows_meet_only_items_with_a_common_shingle():
+    rng = random.Random(5)
+    items = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)).encode()) for k in range(3000)]
+    index, most = Index(items), []
+    plain = index.candidates
+    index.candidates = lambda prints, length, some: most.append(len(some)) or plain(prints, length, some)
+    text = b" ".join(x for k in (5, 77) for x in (b"some other words", items[k][1]))
+    assert sorted(f[0] for f in index.find(text)) == [5, 77] and max(most) <= 2

@@ -43,6 +43,7 @@ TEXTS = [
     "Licensed under CC-BY 4.0; CC BY. cc  by", "GNU General Public License version 2", "All Rights Reserved. all rights reserved all rights reserved", "SPDX-License-Identifier: MIT", "Released under the MIT License.",
     "Copyright (c) 2020 Some Body Here. All rights reserved.", "apache license version 2.0 apache license", "cc bye, xcc by, cc by", "general public license general public license", "", None, "É cc by ñ", "the public domain dedication in the public domain", "cc\x00by cc\nby CC_BY",
     "BSD 3-Clause License and new BSD license; LGPL v2.1, AGPLv3; licensed under the Foo license", "https://creativecommons.org/licenses/by-nc-sa/4.0/",
+    "Unauthorised copying of this file, via any medium, is strictly prohibited.", "Released as CreativeML Open RAIL-M", "see ASL 2.0 for terms",
 ]
 
 
@@ -65,6 +66,8 @@ def test_license_query(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(texts[r.doc_id])
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert any(r.n_base for r in got)
+    for r in scan(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        assert sorted(map(tuple, r.detections)) == detections(texts[r.doc_id])
 
 
 def test_license_rules_and_gates():

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -54,7 +55,10 @@ def _pack(ones: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """The items by length: numbers of their words, SimHash, its blocks, shingle weights.
+    """The items by length: numbers of their words, SimHash, its blocks, shingle weights; and by shingle.
+
+    A window is looked at only where a shingle of some item stands, and only against the items that have a shingle
+    there (the others have similarity 0), so what is held at once doesn't grow with the number of items.
 
     A shingle weighs the number of times it occurs, so that the similarity of two passages is the sum of the smaller
     weights over that of the larger ones. Items of fewer than five words are one shingle, of all their words.
@@ -64,7 +68,7 @@ class Index:
         self.vocabulary: dict[bytes, int] = {}
         self.items: dict[int, list] = defaultdict(list)  # by length: (item_id, weights)
         prints: dict[int, list[int]] = defaultdict(list)
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)  # by width
+        hashes: dict[int, list[tuple]] = defaultdict(list)  # by width: (shingle, length, place among the items of that length)
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -72,10 +76,16 @@ class Index:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64)
             width = min(WIDTH, len(ids))
             h = shingle_hashes(ids, width)
-            hashes[width].append(h)
+            distinct = np.unique(h)
+            hashes[width].append((distinct, np.full(len(distinct), len(ids)), np.full(len(distinct), len(self.items[len(ids)]))))
             self.items[len(ids)].append((item_id, Counter(h.tolist())))
             prints[len(ids)].append(int(_pack(_bits(h).sum(axis=0, keepdims=True), len(h))[0]))
-        self.known = {w: np.unique(np.concatenate(v)) for w, v in hashes.items()}
+        self.known, self.owners = {}, {}
+        for width, parts in hashes.items():
+            h, length, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.known[width], first = np.unique(h[order], return_index=True)
+            self.owners[width] = (np.append(first, len(h)), length[order], place[order])
         self.prints = {n: np.array(v, dtype=np.uint64) for n, v in prints.items()}
         self.blocks = {n: self.split(v) for n, v in self.prints.items()}
 
@@ -83,18 +93,27 @@ class Index:
     def split(prints: np.ndarray) -> np.ndarray:
         return np.stack([(prints >> np.uint64(16 * b)) & np.uint64(0xFFFF) for b in range(BLOCKS)], axis=1).astype(np.uint16)
 
-    def candidates(self, prints: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
+    def owning(self, width: int, shingles: np.ndarray) -> dict[int, np.ndarray]:
+        """By length, the places of the items that have one of the shingles (numbers in self.known)."""
+        ends, lengths, places = self.owners[width]
+        shingles = np.unique(shingles)
+        sizes = ends[shingles + 1] - ends[shingles]
+        at = np.arange(sizes.sum()) + np.repeat(ends[shingles] - np.cumsum(sizes) + sizes, sizes)
+        lengths, places = lengths[at], places[at]
+        return {int(n): np.unique(places[lengths == n]) for n in np.unique(lengths)}
+
+    def candidates(self, prints: np.ndarray, length: int, items: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
         """(window, item) pairs within RADIUS: one block at least is within RADIUS // BLOCKS, then all bits count."""
-        mine = self.split(prints)
-        near = np.zeros((len(prints), len(self.prints[length])), dtype=bool)
+        items = np.arange(len(self.prints[length])) if items is None else items
+        mine, own = self.split(prints), self.blocks[length][items]
+        near = np.zeros((len(prints), len(items)), dtype=bool)
         for b in range(BLOCKS):
-            values, back = np.unique(self.blocks[length][:, b], return_inverse=True)
-            near |= (_POP[mine[:, b, None] ^ values[None, :]] <= RADIUS // BLOCKS)[:, back]
+            near |= _POP[mine[:, b, None] ^ own[None, :, b]] <= RADIUS // BLOCKS
         at, item = np.nonzero(near)
-        apart = prints[at] ^ self.prints[length][item]
+        apart = prints[at] ^ self.prints[length][items[item]]
         distance = _POP[self.split(apart)].sum(axis=1)
         for k in np.nonzero(distance <= RADIUS)[0]:
-            yield int(at[k]), int(item[k])
+            yield int(at[k]), int(items[item[k]])
 
     def find(self, text: bytes | None) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of each item that some window of the text repeats."""
@@ -114,9 +133,10 @@ class Index:
                 continue
             # a window without any of the items' shingles has similarity 0 to all of them
             found = self._hash_at(ids, full, width)
-            hits = full[known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found]
-            if len(hits):
-                self._windows(ids, hits, width, best)
+            place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            same = known[place] == found
+            if same.any():
+                self._windows(ids, full[same], place[same], width, best)
         return [(item, *v) for item, v in best.items()]
 
     @staticmethod
@@ -126,27 +146,29 @@ class Index:
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + ids[at + k].astype(np.uint64) + np.uint64(k + 1))
         return out
 
-    def _windows(self, ids: np.ndarray, hits: np.ndarray, width: int, best: dict) -> None:
+    def _windows(self, ids: np.ndarray, hits: np.ndarray, shingles: np.ndarray, width: int, best: dict) -> None:
         # Words outside the vocabulary differ from all items' words; they are told apart by where they stand.
         ids = np.where(ids > 0, ids, len(self.vocabulary) + 1 + np.arange(len(ids)))
         longest = max(n for n in self.items if min(WIDTH, n) == width)
         # far hits, and those of a long text every so often, are looked at apart; each part has all windows around its hits
-        for part in np.split(hits, np.nonzero((np.diff(hits) > 2 * longest) | (np.diff(hits // 8192) > 0))[0] + 1):
+        cuts = np.nonzero((np.diff(hits) > 2 * longest) | (np.diff(hits // 8192) > 0))[0] + 1
+        for part, inside in zip(np.split(hits, cuts), np.split(shingles, cuts), strict=True):
             low, high = max(0, part[0] - longest), min(len(ids), part[-1] + width + longest)
             h = shingle_hashes(ids[low:high], width)
             sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(_bits(h), axis=0, dtype=np.int32)])
             hit = np.zeros(len(h) + 1, dtype=np.int64)
             hit[part - low + 1] = 1
             hit = np.cumsum(hit)
-            for length, items in self.items.items():
-                if min(WIDTH, length) != width:
-                    continue
+            # windows of this part may hold hits of its neighbours too: those are found with these
+            near = self.owning(width, np.concatenate([inside, shingles[(hits >= low) & (hits < high)]]))
+            for length, some in near.items():
+                items = self.items[length]
                 m = min(length - width + 1, len(h))  # a text shorter than the item is one window
                 starts = np.nonzero(hit[m:] > hit[:-m])[0]
                 if not len(starts):
                     continue
                 prints = _pack(sums[starts + m] - sums[starts], m)
-                for at, item in self.candidates(prints, length):
+                for at, item in self.candidates(prints, length, some):
                     item_id, weights = items[item]
                     s = int(starts[at])
                     mine = Counter(h[s : s + m].tolist())
@@ -174,6 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITE
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word long, n_words long"
     out = None
     for index in _slices(benchmark, max_items):
@@ -182,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITE
             for batch in batches:
                 rows = [(k, *found) for k, t in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()) for found in index.find(t)]
                 at, items, alike, first, n = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, _arrow(item_kind)), pa.array(alike, pa.float64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())]
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, item_type), pa.array(alike, pa.float64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())]
                 yield pa.record_batch(columns, names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -190,10 +213,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITE
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """The rows of docs that repeat no item, with all their columns; nothing is shuffled."""
     for index in _slices(benchmark, max_items):

@@ -127,7 +127,8 @@ _TABLE: list[tuple[str, int, str, list[str]]] = [
     ("apache-2.0", 2, "apache licen", [f"apache {_LIC} {_V}2(?: 0)?", f"licensed under the apache {_LIC} {_V}2 0(?: the {_LIC})?"]),
     ("apache-1.1", 2, "apache licen", [f"apache {_LIC} {_V}1 1"]),
     ("apache-1.0", 2, "apache licen", [f"apache {_LIC} {_V}1 0"]),
-    ("apache-2.0", 2, "apache", ["apache 2 0(?: licen[sc]e(?:d)?)?", "apache2", "asl 2 0", "apache software license 2 0"][:3]),
+    ("apache-2.0", 2, "apache", ["apache 2 0(?: licen[sc]e(?:d)?)?", "apache2"]),
+    ("apache-2.0", 2, "asl 2 0", ["asl 2 0"]),
     ("apache", 1, "apache licen", [f"apache {_LIC}"]),
     ("apache", 1, "apache software licen", [f"apache software {_LIC}(?: {_V}[12] [01])?"]),
     ("apache-2.0", 1, "you may not use this file except", ["you may not use this file except in compliance with the licen[sc]e"]),
@@ -223,7 +224,7 @@ _TABLE: list[tuple[str, int, str, list[str]]] = [
     ("polyform", 2, "polyform", [f"polyform (?:noncommercial|small business|shield|strict|internal use|perimeter|free trial)(?: {_LIC})?"]),
     ("parity", 2, "parity public", [f"parity public {_LIC}"]),
     ("blueoak-1.0", 2, "blue oak model", [f"blue oak model {_LIC}(?: 1 0 0)?"]),
-    ("openrail", 2, "openrail", [f"(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: {_LIC})?"]),
+    ("openrail", 2, "rail", [f"(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: {_LIC})?"]),
     ("llama", 2, "llama", [f"llama (?:[23] )?(?:[0-9] )?community {_LIC}"]),
     ("hippocratic", 2, "hippocratic licen", [f"hippocratic {_LIC}"]),
     ("mulan-2.0", 2, "mulan", [f"mulan p(?:sl|ermissive software {_LIC})(?: ?v?2)?"]),
@@ -232,7 +233,7 @@ _TABLE: list[tuple[str, int, str, list[str]]] = [
     ("reserved", 1, "all rights reserved", ["(?:c )?copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?(?: [^ ]{1,30}){1,6} all rights reserved", "all rights reserved"]),
     ("copyright", 0, "copyright", ["copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"]),
     ("proprietary", 2, "proprietary", ["proprietary and confidential", f"proprietary {_LIC}", "confidential and proprietary"]),
-    ("proprietary", 1, "unauthorized", ["unauthori[sz]ed (?:copying|reproduction|distribution|use)(?: [^ ]{1,20}){0,8} is (?:strictly )?prohibited"]),
+    ("proprietary", 1, "unauthori", ["unauthori[sz]ed (?:copying|reproduction|distribution|use)(?: [^ ]{1,20}){0,8} is (?:strictly )?prohibited"]),
     ("proprietary", 1, "end user licen", [f"end user {_LIC}(?: agreement)?"]),
     ("proprietary", 1, "without prior written permission", ["(?:may|must) not be (?:copied|reproduced|redistributed)(?: [^ ]{1,20}){0,8} without prior written permission"]),
     ("noncommercial", 1, "non commercial use only", ["(?:for )?non commercial use only"]),
@@ -251,8 +252,8 @@ GATES = (
     "licen", "cc by", "cc0", "creative", "gpl", "apache", "permission", "copyright", "software is", "bsd", "redistribution",
     "endorse", "advertising", "mpl", "common", "cddl", "universal", "nasa open", "oracle binary", "zlib", "in no event", "public", "what the fuck",
     "wtfpl", "same terms", "python software", "sqlite", "beer ware", "used for good", "european union", "cecill", "illinois", "w3c", "open data", "business source",
-    "server side", "polyform", "openrail", "llama", "mulan", "anti 996", "rights reserved", "proprietary", "unauthorized", "use only", "purposes only", "free software",
-    "you may not use", "boost org", "sil org", "mozilla org", "eclipse org", "ms pl", "mit no", "blue oak", "general",
+    "server side", "polyform", "openrail", "open rail", "llama", "mulan", "anti 996", "rights reserved", "proprietary", "unauthori", "use only", "purposes only", "free software",
+    "you may not use", "boost org", "sil org", "mozilla org", "eclipse org", "ms pl", "mit no", "blue oak", "general", "asl 2 0",
 )
 
 CONFIDENCE = {3: 0.99, 2: 0.9, 1: 0.7, 0: 0.4}

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantor.llm.common import shared_dir
+from vantor.llm.common import cut, shared_dir, sized
 
-#: Captures in an archive file; a reader holds one file in memory.
-CAPTURES_PER_FILE = 2_048
+#: A reader holds one archive file in memory: it has so many captures, or fewer if payloads of the mean size would make it
+#: larger than this.
+CAPTURES_PER_FILE, FILE_BYTES = 2_048, 1 << 27
 CRLF = "\r\n"
 END = CRLF + CRLF
 WHEN = "2024-01-01T00:00:00Z"
@@ -34,13 +35,15 @@ def base32(hexes: Column) -> Column:
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(record): the request, response or revisit, and metadata records of each row of pages.
 
-    Only (page_id, digest, length) is grouped; the payload moves once, to where its digest's response is known. Of
-    rows with equal payloads of min_bytes or more, those with the smallest page_id are responses.
+    Only (page_id, digest) is grouped, and only digests that stand twice are joined again: payloads stay where they are
+    if these are few, and move once if not, when a popular payload's rows can be split. Of rows with equal payloads of
+    min_bytes or more, those with the smallest page_id are responses.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("n"), base32(F.sha1(payload)).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    rows = rows.join(first.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).drop("d")
+    first = rows.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("times"))
+    first = cut(first.where("times > 1").drop("times"))
+    rows = rows.join(sized(first), F.col("digest") == F.col("d"), "left").drop("d")
     revisit = F.coalesce((F.col("n") >= min_bytes) & (F.col("page_id") > F.col("first_id")), F.lit(False))
     rows = rows.select("*", revisit.alias("revisit"), F.expr("uuid()").alias("u"))
 
@@ -64,8 +67,11 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.select(F.explode(F.array(request, response, metadata)).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, captures_per_file: int = CAPTURES_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, captures_per_file: int | None = None) -> None:
     """Write the records of pages as gzipped WARC files under path, which all executors share."""
+    if captures_per_file is None:
+        mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+        captures_per_file = max(1, min(CAPTURES_PER_FILE, int(FILE_BYTES // (mean + 1024))))
     out = records(pages, min_bytes).write.option("lineSep", END).option("compression", "gzip")
     out.option("maxRecordsPerFile", 3 * captures_per_file).text(path)
 
