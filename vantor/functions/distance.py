@@ -62,6 +62,48 @@ def distance_matrix(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np
     return (-out + 0.0).astype(np.float32)
 
 
+def distance_pairs(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """float32 distances of a's rows to b's, row by row, in the order of the Column form."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += np.square(a[:, d] - b[:, d]) if metric == "l2" else a[:, d] * b[:, d]
+    if metric == "l2":
+        return out.astype(np.float32)
+    if metric == "cosine":
+        ordered = lambda m: np.add.accumulate(m * m, axis=1)[:, -1]  # noqa: E731  left to right, unlike sum()
+        norms = ordered(a) * ordered(b)
+        out = np.divide(out, np.sqrt(norms), out=np.zeros_like(out), where=norms != 0)
+    return (-out + 0.0).astype(np.float32)
+
+
+def nearest_pairs(queries: np.ndarray, vectors: np.ndarray, limit: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of the first `limit` vectors of each query by distance, then by place, exactly.
+
+    Products of whole matrices, in double, find what may be among these: all that is not beyond the limit-th by more
+    than rounding, single precision included. Those alone are measured in the order that defines a distance.
+    """
+    q, v = queries.astype(np.float64), vectors.astype(np.float64)
+    qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
+    rough = q @ v.T
+    if metric == "l2":
+        rough = qq[:, None] + vv[None, :] - 2 * rough
+        scale = qq + vv.max(initial=0.0)
+    elif metric == "ip":
+        rough, scale = -rough, np.sqrt(qq * vv.max(initial=0.0))
+    else:
+        norms = np.sqrt(qq[:, None] * vv[None, :])
+        rough, scale = -np.divide(rough, norms, out=np.zeros_like(rough), where=norms != 0), np.ones(len(q))
+    k = min(limit, len(v))
+    most = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    rows, places = np.nonzero(rough <= (most + 1e-6 * np.abs(most) + 1e-12 * scale)[:, None])
+    exact = distance_pairs(q[rows], v[places], metric)
+    order = np.lexsort((places, exact, rows))
+    rows, places, exact = rows[order], places[order], exact[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], places[first], exact[first]
+
+
 def gemm_matrix(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     """Distances by matrix products: faster, but not equal to the last bit; for candidates and clustering."""
     q, v = queries.astype(np.float32), vectors.astype(np.float32)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vantor.errors import InvalidArgument, ResourceExhausted
-from vantor.functions.distance import METRICS, distance, distance_matrix
+from vantor.functions.distance import METRICS, distance, nearest_pairs
 from vantor.sources.shared import cut
 
 #: Queries that one pass over the collection carries to the executors, as an Arrow closure of bounded size.
@@ -92,10 +92,8 @@ def _scored(rows: DataFrame, ids: list, q: np.ndarray, limit: int, metric: str,
             vectors = batch_vectors(batch.column(1))[order]
             step = max(1, TILE // max(1, len(vectors)))
             for at in range(0, len(q) if len(vectors) else 0, step):
-                d = distance_matrix(q[at : at + step], vectors, metric)
-                best = np.argsort(d, axis=1, kind="stable")[:, :limit]
-                n, k = best.shape
-                columns = [query_ids.take(pa.array(np.repeat(np.arange(at, at + n), k))), keys.take(pa.array(order[best.ravel()])), pa.array(np.take_along_axis(d, best, 1).ravel(), pa.float32())]
+                of, place, d = nearest_pairs(q[at : at + step], vectors, limit, metric)
+                columns = [query_ids.take(pa.array(at + of)), keys.take(pa.array(order[place])), pa.array(d, pa.float32())]
                 yield pa.record_batch(columns, names=["query_id", id_col, "distance"])
 
     return rows.mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, distance float")

@@ -6,13 +6,14 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from vantor.errors import InvalidArgument
 from vantor.operators.search import search
+from vantor.sources.shared import cut
 
 #: Where a sentence ends, unless what comes before looks like an abbreviation.
 SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=[.?!。？！])\s*"
@@ -35,8 +36,8 @@ def windows(items: Column, size: int, overlap: int) -> Column:
     if size <= 0 or not 0 <= overlap < size:
         raise InvalidArgument("overlap must be from 0 to below the chunk size")
     starts = F.sequence(F.lit(1), F.size(items), F.lit(size - overlap))
-    cut = F.transform(starts, lambda at: F.array_join(F.slice(items, at, F.lit(size)), " "))
-    return F.when(F.size(items) > 0, cut).otherwise(F.array().cast("array<string>"))
+    joined = F.transform(starts, lambda at: F.array_join(F.slice(items, at, F.lit(size)), " "))
+    return F.when(F.size(items) > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
 def sentence_chunks(docs: DataFrame, size: int = 3, overlap: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,12 +129,22 @@ def hash_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic embedder: words hashed to signed coordinates, unit length; a text without words is zero."""
     from zlib import crc32
 
+    memo: dict[str, int] = {}  # a word's coordinate, and dim more for a negative sign
+
+    def place(word: str) -> int:
+        if (found := memo.get(word)) is None:
+            if len(memo) >= 500_000:
+                memo.clear()
+            h = crc32(word.encode())
+            found = memo[word] = h % dim + (0 if h >> 16 & 1 else dim)
+        return found
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"\w+", (text or "").lower()):
-                h = crc32(word.encode())
-                row[h % dim] += 1.0 if h >> 16 & 1 else -1.0
+        words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        at = np.fromiter((place(x) for w in words for x in w), dtype=np.int64, count=len(rows))
+        counts = np.bincount(rows * 2 * dim + at, minlength=len(texts) * 2 * dim).reshape(len(texts), 2 * dim)
+        out = (counts[:, :dim] - counts[:, dim:]).astype(np.float32)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
@@ -158,11 +169,14 @@ def embedder(name: str) -> Callable[[list[str]], np.ndarray]:
 def embedded(rows: DataFrame, embed: Callable[[list[str]], np.ndarray], text_col: str = "text", to: str = "vector") -> DataFrame:
     """rows with the vectors of a text column, a batch at a time."""
 
-    @F.pandas_udf("array<float>")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series(list(embed(text.fillna("").tolist())), index=text.index)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.ascontiguousarray(embed([t or "" for t in batch.column(text_col).to_pylist()]), dtype=np.float32)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * (v.shape[1] if batch.num_rows else 0)
+            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.ravel()))], names=[*batch.schema.names, to])
 
-    return rows.withColumn(to, run(F.col(text_col)))
+    schema = StructType([f for f in rows.schema.fields if f.name != to]).add(to, ArrayType(FloatType()))
+    return rows.select(*[F.col(f"`{x}`") for x in rows.columns if x != to]).mapInArrow(run, schema)
 
 
 def history_queries(turns: DataFrame, pairs: int = HISTORY) -> DataFrame:
@@ -185,8 +199,11 @@ def ingest(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Call
 
 
 def retrieve(collection: DataFrame, questions: DataFrame, embed: Callable[[list[str]], np.ndarray], limit: int = 5) -> DataFrame:
-    """(query_id, context): the documents of the nearest rows, nearest first, joined by blank lines."""
-    asked = embedded(questions.select("query_id", "text"), embed, to="query").select("query_id", "query")
+    """(query_id, context): the documents of the nearest rows, nearest first, joined by blank lines.
+
+    The collection is read twice, for the search and for the contexts: write it before, if it is computed.
+    """
+    asked = cut(embedded(questions.select("query_id", "text"), embed, to="query").select("query_id", "query"))
     hits = search(collection, asked, limit, "cosine")
     return contexts(hits, collection, asked)
 

@@ -11,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vantor.config import CollectionConfig, FlatIndex, GraphIndex
 from vantor.functions.distance import l2_normalize
 from vantor.functions.filters import compile_filter
 from vantor.operators import analysis, cluster, graph, mutations, quantize, search, text
+from vantor.sources.shared import cut
+from vantor.store import Collection, SearchResult, connect
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -328,20 +331,58 @@ def batch_receipts(spark: SparkSession, d: str) -> DataFrame:
     return mutations.receipts(mutations.partial_statuses(_batch(spark, d), _stored(spark, d)), 1000, 999)
 
 
-@query(f"SELECT count(*) AS matched, count(*) AS deleted, 0::BIGINT AS not_found, ceil(count(*) / 7.0)::BIGINT AS batches FROM ({_LATEST}) WHERE event_type <> 'error' AND value > 50")
-def delete_where_counts(spark: SparkSession, d: str) -> DataFrame:
-    live = _live(spark, d)
-    hit = live.where(compile_filter({"value": {"$gt": 50}}, live.schema)).select(F.col("user_id").alias("id"), F.lit("delete").alias("op"), F.col("event_id").alias("pos"))
-    done = mutations.partial_statuses(hit, live.select(F.col("user_id").alias("id")))
-    n = F.count("*")
-    return done.agg(n.alias("matched"), F.count_if(F.col("status") == "deleted").alias("deleted"), F.count_if(F.col("status") == "not_found").alias("not_found"), F.ceil(n / 7).alias("batches"))
+# a collection on disk, through its own interface
 
 
-@query("SELECT event_id, (event_id // 256) AS batch, (row_number() OVER (PARTITION BY event_id // 256 ORDER BY event_id)) = 256 AS seals FROM events")
-def auto_seal_flags(spark: SparkSession, d: str) -> DataFrame:
-    batch = F.expr("event_id div 256")
-    rows = _events(spark, d).select("event_id", batch.alias("batch"))
-    return rows.withColumn("seals", F.row_number().over(Window.partitionBy("batch").orderBy("event_id")) == 256)
+def _stored_collection(spark: SparkSession, d: str, name: str, index: FlatIndex | GraphIndex, metric: str = "cosine") -> Collection:
+    """The embeddings as a collection in a folder of its own: ids of 12 digits, metadata label."""
+    col = connect(spark).create_collection(name, CollectionConfig(64, metric=metric, index=index))
+    col.write(_records(_base(spark, d)), "add")
+    return col
+
+
+def _records(rows: DataFrame, label: Column | None = None) -> DataFrame:
+    cell = F.struct(F.lit(None).cast("boolean").alias("b"), (F.col("label") if label is None else label).cast("bigint").alias("i"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("string").alias("s"))
+    id_ = F.lpad(F.col("vec_id").cast("string"), 12, "0")
+    return rows.select(F.col("vec_id").alias("pos"), id_.alias("id"), F.col("embedding").alias("vector"), F.lit("").alias("document"), F.create_map(F.lit("label"), cell).alias("metadata"))
+
+
+def _hits(found: SearchResult) -> DataFrame:
+    return found.hits.select("query_id", "rank", F.col("id").cast("bigint").alias("vec_id"), "distance")
+
+
+@query(_knn_sql("cosine", "label < 4"))
+def collection_strict_search(spark: SparkSession, d: str) -> DataFrame:
+    """A collection with a graph index, sealed; a strict filter measures all that passes."""
+    col = _stored_collection(spark, d, "strict", GraphIndex())
+    col.seal()
+    return _hits(col.search(_asked(spark, d), K, where={"label": {"$lt": 4}}, filter_policy="strict"))
+
+
+@query(_knn_sql("l2", "label <> 7 AND NOT (label = 5 AND vec_id % 3 = 0)"))
+def collection_search_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Some labels are changed to 7 and all rows of that label deleted, after the rest was sealed; then an unfiltered search."""
+    col = _stored_collection(spark, d, "changes", FlatIndex(), "l2")
+    col.seal()
+    col.write(_records(_base(spark, d).where("label = 5 AND vec_id % 3 = 0"), F.lit(7)), "upsert")
+    col.delete_where({"label": 7}, batch_size=40)
+    return _hits(col.search(_asked(spark, d), K))
+
+
+@query("SELECT count(*) AS matched, count(*) AS deleted, 0::BIGINT AS not_found, ceil(count(*) / 20.0)::BIGINT AS batches, (SELECT count(*) FROM embeddings WHERE label <> 3) AS left_over FROM embeddings WHERE label = 3")
+def collection_delete_where(spark: SparkSession, d: str) -> DataFrame:
+    col = _stored_collection(spark, d, "deletes", FlatIndex())
+    done = col.delete_where({"label": 3}, batch_size=20)
+    return spark.createDataFrame([(*done.values(), col.count())], ", ".join(f"{k} long" for k in [*done, "left_over"]))
+
+
+@query("""SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, CASE WHEN vec_id % 10 = 0 THEN 'updated' END AS status, CASE WHEN vec_id % 10 = 0 THEN 100 + label ELSE label END::BIGINT AS label FROM embeddings""")
+def collection_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth record upserted with another label: the receipts beside what is read back."""
+    col = _stored_collection(spark, d, "upserts", FlatIndex())
+    rows = _base(spark, d).where("vec_id % 10 = 0")
+    receipts = col.write(_records(rows, F.col("label") + 100), "upsert").select("id", "status")
+    return col.records().select("id", F.col("metadata")["label"]["i"].alias("label")).join(receipts, "id", "left").select("id", "status", "label")
 
 
 # quantizers, clusters, graphs
@@ -521,7 +562,7 @@ def retrieve_join(spark: SparkSession, d: str) -> DataFrame:
 def rag_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Chunks embedded and searched by the benchmark's texts, with the hashing embedder."""
     embed = text.embedder("hash")
-    rows = text.ingest(table(spark, d, "documents").select("doc_id", "text"), text.sentence_chunks, embed)
+    rows = cut(text.ingest(table(spark, d, "documents").select("doc_id", "text"), text.sentence_chunks, embed))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return text.retrieve(rows, asked, embed, 3)
 
@@ -531,7 +572,14 @@ def sha256_docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+#: The table of the reflected polynomial, then a byte at a time.
+_CRC = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+b AS (SELECT doc_id, list_transform(range(0, length(h), 2), lambda k: ('0x' || substr(h, k + 1, 2))::BIGINT) AS b FROM h)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS crc32 FROM b, t"""
+
+
+@query(_CRC)
 def crc32_docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"))
 

@@ -237,7 +237,7 @@ class Collection:
         return {"size": rows["size"], "tombstones": rows["tombstones"], "accepted": m["next_op"] - 1, "visibility_watermark": m["watermark"], "durable_watermark": m["durable"], "metadata_epoch": m["version"], "vector_bytes": rows["size"] * self.config.dimension * width, "sealed_segments": kinds.count("sealed"), "log_segments": kinds.count("log"), "retired_segments": len(m["retired"])}
 
     def search(self, queries: object, limit: int = 10, where: dict | None = None, effort: int | None = None, filter_policy: str = "auto", selectivity_hint: float | None = None, scratch_bytes: int | None = None) -> SearchResult:
-        """The nearest records of one vector or a matrix of them; queries are numbered in order.
+        """The nearest records of one vector or a matrix of them, numbered in order, or of a DataFrame (query_id, query).
 
         Without a graph index answers are exact over what passes the filter. With one, unsealed rows are all measured;
         of sealed rows candidates are found by one-bit codes and then measured exactly. By the filter's selectivity (the
@@ -250,17 +250,22 @@ class Collection:
         self._require()
         c.positive_int(limit, "limit")
         effort = c.effective_effort(self.config, effort, limit)
-        q = c.check_queries(queries, self.config)
         if filter_policy not in ("auto", "strict", "allow_partial"):
             raise InvalidArgument("filter_policy must be auto, strict or allow_partial")
         if selectivity_hint is not None and not (isinstance(selectivity_hint, int | float) and 0 <= selectivity_hint <= 1):
             raise InvalidArgument("selectivity_hint must lie in [0, 1]")
-        asked = self.spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(q)], "query_id int, query array<float>")
+        if isinstance(queries, DataFrame):
+            asked = queries.select("query_id", F.col("query").cast("array<float>").alias("query"))
+            n_queries = asked.count()
+        else:
+            q = c.check_queries(queries, self.config)
+            n_queries = len(q)
+            asked = self.spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(q)], "query_id int, query array<float>")
         m = self._manifest()
         partial = filter_policy == "allow_partial"
         m, failed = self._readable(m) if partial else (m, [])
         if scratch_bytes is not None:
-            s.preflight(len(q), self.count(), limit, self.config.dimension, scratch_bytes)
+            s.preflight(n_queries, self.count(), limit, self.config.dimension, scratch_bytes)
         records = self.records(manifest=m)
         columns = ["id", "version", F.col("vector").cast("array<float>").alias("vector")]
         visible = records.select(*columns)
@@ -280,7 +285,7 @@ class Collection:
             plan = self.spark.range(1).select(s.filter_plan(share or 0.0, strict=filter_policy == "strict").alias("p")).first().p
         if plan == "prefilter":
             return done(exact(admitted), plan)
-        report["candidates"] = limit * max(SHORTLIST, -(-effort // limit)) * len(coded) * len(q)
+        report["candidates"] = limit * max(SHORTLIST, -(-effort // limit)) * len(coded) * n_queries
         if not where or plan == "traversal":
             return done(self._coded(m, coded, admitted, asked, limit, effort), plan)
         hits = s.overfetch(lambda n: self._coded(m, coded, visible, asked, n, effort), admitted, limit, report=report)
