@@ -361,6 +361,8 @@ class Collection:
     def write(self, rows: DataFrame, op: str, mode: str = "atomic", idempotency_key: str | None = None) -> DataFrame:
         """Apply a batch of any size: rows has pos and id, and vector, document, metadata unless op is delete.
 
+        pos numbers the rows from 0, each once; operation ids follow it, gaps included.
+
         Returns the receipts. Statuses are joins against the live ids; rows that succeed become a log segment, which
         counts once its manifest is published.
         """
@@ -378,8 +380,8 @@ class Collection:
         batch = rows.select("pos", "id", F.lit(op).alias("op"), (valid & F.col("id").isNotNull()).alias("valid"))
         done = statuses(batch, latest(self.log(m)).where("op = 'write'").select("id"), mode, deletes=op == "delete")
         done = cut(receipts(done, m["next_op"], m["watermark"]))
-        total = done.agg(F.count("*").alias("n"), F.count_if("searchable").alias("ok"), F.max(F.when(F.col("searchable"), F.col("row_op_id"))).alias("last")).first()
-        changes: dict = {"next_op": m["next_op"] + 1 + total["n"]}
+        total = done.agg(F.count("*").alias("n"), F.count_if("searchable").alias("ok"), F.max(F.when(F.col("searchable"), F.col("row_op_id"))).alias("last"), F.coalesce(F.max("pos") + 1, F.lit(0)).alias("places")).first()
+        changes: dict = {"next_op": m["next_op"] + 1 + total["places"]}
         name = uuid.uuid4().hex
         if total["ok"]:
             cells = [F.col(k) for k in ("vector", "document", "metadata")] if op != "delete" else []
