@@ -185,3 +185,39 @@ def test_overfetch(spark, sample):
     got = by_query(search.overfetch(found, some, 5, rounds=8))
     assert got == by_query(search.search(some, q, 5)) and asked_for == [5 << k for k in range(len(asked_for))] and len(asked_for) > 2
     assert search.overfetch(found, base.where("false"), 5, rounds=0).count() == 0
+
+
+def test_graphs_grow_by_insertion(spark, sample):
+    base = frame(spark, sample).withColumn("shard", F.lit(0))
+    old, new = base.where("id % 4 <> 0"), base.where("id % 4 = 0")
+    edges = graph.build_shards(old, 16, 48).cache()
+    more = graph.insert_shards(old, edges, new, 16, 48).cache()
+    assert more.select("src").distinct().count() == base.count() and more.groupBy("src").count().agg(F.max("count")).first()[0] <= 16
+    q = asked(spark, sample[::20])
+    assert search.recall(graph.search_shards(base, more, q, 10, 64), search.search(base, q, 10), 10).first().recall >= 0.9
+
+
+def test_dispatch_by_budget(spark, sample):
+    base = frame(spark, sample)
+    one, _ = graph.dispatch(base, sample.shape[1], 1 << 30, 8, 16)
+    many, edges = graph.dispatch(base, sample.shape[1], 60_000, 8, 16)
+    assert one.select("shard").distinct().count() == 1 and many.select("shard").distinct().count() > 2
+    assert edges.select("src").distinct().count() == base.count()
+
+
+def test_snapshots_of_graphs(spark, sample, tmp_path):
+    edges = graph.build_shards(frame(spark, sample[:60]).withColumn("shard", F.lit(0)), 8, 16)
+    path = str(tmp_path / "graph")
+    graph.save(edges, path, 8)
+    assert graph.load(spark, path).count() == edges.count()
+    spark.read.parquet(f"{path}/edges").limit(3).write.mode("append").parquet(f"{path}/edges")
+    with pytest.raises(ValueError):
+        graph.load(spark, path)
+
+
+def test_whole_number_helpers(spark):
+    from vantor.functions import maths
+
+    rows = spark.range(1, 5000).select("id", maths.floor_log2(F.col("id")).alias("f"), maths.ceil_log2(F.col("id")).alias("c"), maths.ceil_div(F.col("id"), F.lit(7)).alias("d"), maths.round_up(F.col("id"), F.lit(64)).alias("r"), maths.is_power_of_two(F.col("id")).alias("p")).collect()
+    for r in rows:
+        assert (r.f, r.c, r.d, r.r, r.p) == (r.id.bit_length() - 1, (r.id - 1).bit_length(), -(-r.id // 7), -(-r.id // 64) * 64, r.id.bit_count() == 1)

@@ -56,15 +56,15 @@ class CollectionConfig:
     auto_seal_rows: int | None = None
 
     def __post_init__(self) -> None:
-        positive_int(self.dimension, "dimension")
-        if self.dtype not in DTYPES:
-            raise InvalidArgument(f"dtype must be one of {tuple(DTYPES)}")
-        if self.metric not in METRICS:
-            raise InvalidArgument(f"metric must be one of {METRICS}")
+        known = {"dtype": DTYPES, "metric": METRICS}
+        for name, values in known.items():
+            if getattr(self, name) not in values:
+                raise InvalidArgument(f"{name} must be one of {tuple(values)}")
+        for name in ("dimension", "auto_seal_rows"):
+            if name == "dimension" or getattr(self, name) is not None:
+                positive_int(getattr(self, name), name)
         if not isinstance(self.index, FlatIndex | GraphIndex):
             raise InvalidArgument("index must be a FlatIndex or a GraphIndex")
-        if self.auto_seal_rows is not None:
-            positive_int(self.auto_seal_rows, "auto_seal_rows")
 
     @property
     def element(self) -> str:

@@ -11,12 +11,15 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from vantor.errors import InvalidArgument
 from vantor.functions.distance import gemm_matrix
-from vantor.operators.search import batch_vectors, ranked
+from vantor.operators.cluster import kmeans, shard_assignment, shards_for
+from vantor.operators.search import batch_vectors, ranked, slices
+from vantor.sources.shared import cut
 
 DEGREE = 32
 EFFORT = 100
@@ -84,6 +87,23 @@ def beam(query: np.ndarray, vectors: np.ndarray, neighbours: list, entry: Iterab
     return sorted((-x, -i) for x, i in best), expanded
 
 
+def _link(i: int, vectors: np.ndarray, neighbours: list[list[int]], entry: int, degree: int, effort: int, alpha: float) -> None:
+    """Search for row i in the graph, prune what was met to its neighbours, and link these back to it."""
+    found, expanded = beam(vectors[i], vectors, neighbours, [entry], effort)
+    pool = np.array(sorted(({j for _, j in found} | set(expanded) | set(neighbours[i])) - {i}), dtype=np.int64)
+    if not len(pool):
+        return
+    d = gemm_matrix(vectors[i][None, :], vectors[pool], "l2")[0]
+    neighbours[i] = robust_prune(i, pool, d, vectors, degree, alpha)
+    for j in neighbours[i]:
+        if i in neighbours[j]:
+            continue
+        neighbours[j].append(i)
+        if len(neighbours[j]) > degree:
+            own = np.array(neighbours[j], dtype=np.int64)
+            neighbours[j] = robust_prune(j, own, gemm_matrix(vectors[j][None, :], vectors[own], "l2")[0], vectors, degree, alpha)
+
+
 def build(vectors: np.ndarray, degree: int = DEGREE, effort: int = EFFORT, alpha: float = ALPHA, seed: int = 1234, rounds: int = 2) -> tuple[list[list[int]], int]:
     """(neighbours of each row, entry): every row is searched for, pruned and linked both ways, in random order; twice."""
     n = len(vectors)
@@ -97,17 +117,7 @@ def build(vectors: np.ndarray, degree: int = DEGREE, effort: int = EFFORT, alpha
     for r in range(rounds):
         a = 1.0 if r < rounds - 1 else alpha
         for i in rng.permutation(n).tolist():
-            found, expanded = beam(vectors[i], vectors, neighbours, [entry], effort)
-            pool = np.array(sorted({j for _, j in found} | set(expanded) | set(neighbours[i])), dtype=np.int64)
-            d = gemm_matrix(vectors[i][None, :], vectors[pool], "l2")[0]
-            neighbours[i] = robust_prune(i, pool, d, vectors, degree, a)
-            for j in neighbours[i]:
-                if i in neighbours[j]:
-                    continue
-                neighbours[j].append(i)
-                if len(neighbours[j]) > degree:
-                    own = np.array(neighbours[j], dtype=np.int64)
-                    neighbours[j] = robust_prune(j, own, gemm_matrix(vectors[j][None, :], vectors[own], "l2")[0], vectors, degree, a)
+            _link(i, vectors, neighbours, entry, degree, effort, a)
     return neighbours, entry
 
 
@@ -119,15 +129,86 @@ def build_shards(sharded: DataFrame, degree: int = DEGREE, effort: int = EFFORT,
         table = table.sort_by(id_col)
         ids, shard = table.column(id_col), table.column("shard")[0]
         neighbours, entry = build(batch_vectors(table.column(vector_col).combine_chunks()).astype(np.float32), degree, effort, alpha, seed)
-        src = np.repeat(np.arange(len(neighbours)), [len(x) for x in neighbours])
-        dst = np.array([j for x in neighbours for j in x], dtype=np.int64)
-        slot = np.array([k for x in neighbours for k in range(len(x))], dtype=np.int32)
-        return pa.table({"shard": pa.array([shard.as_py()] * len(src), shard.type), "src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "slot": pa.array(slot), "entry": ids.take(pa.array(np.full(len(src), max(entry, 0))))})
+        return _edge_table(ids, neighbours, entry, shard)
 
     shard_kind = sharded.schema["shard"].dataType.simpleString()
     return sharded.select("shard", id_col, vector_col).groupBy("shard").applyInArrow(run, f"shard {shard_kind}, src {kind}, dst {kind}, slot int, entry {kind}")
 
 
+def _with_lists(rows: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """rows with near, the neighbours of each in order of their slots, and entry."""
+    lists = edges.groupBy("shard", "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "dst"))), lambda x: x["dst"]).alias("near"), F.first("entry").alias("entry"))  # degree edges a row
+    return rows.join(lists.withColumnRenamed("shard", "__s"), (F.col("shard") == F.col("__s")) & (F.col(id_col) == F.col("src")), "left").drop("__s", "src")
+
+
+def _graph_of(table: pa.Table, id_col: str, vector_col: str) -> tuple[np.ndarray, list[list[int]], int]:
+    """(vectors, neighbours by number, entry) of a shard's rows, sorted by id."""
+    at = {x: k for k, x in enumerate(table.column(id_col).to_pylist())}
+    vectors = batch_vectors(table.column(vector_col).combine_chunks()).astype(np.float32)
+    neighbours = [[at[j] for j in x or [] if j in at] for x in table.column("near").to_pylist()]
+    return vectors, neighbours, next((at[x] for x in table.column("entry").to_pylist() if x is not None and x in at), 0)
+
+
+def _edge_table(ids: pa.ChunkedArray, neighbours: list[list[int]], entry: int, shard: pa.Scalar) -> pa.Table:
+    src = np.repeat(np.arange(len(neighbours)), [len(x) for x in neighbours])
+    dst = np.array([j for x in neighbours for j in x], dtype=np.int64)
+    slot = np.array([k for x in neighbours for k in range(len(x))], dtype=np.int32)
+    return pa.table({"shard": pa.array([shard.as_py()] * len(src), shard.type), "src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "slot": pa.array(slot), "entry": ids.take(pa.array(np.full(len(src), max(entry, 0))))})
+
+
+def insert_shards(sharded: DataFrame, edges: DataFrame, added: DataFrame, degree: int = DEGREE, effort: int = EFFORT, alpha: float = ALPHA, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """edges with the rows of added (id, vector, shard) linked into their shards' graphs, in order of id.
+
+    sharded and edges may lack rows that were deleted: what pointed at these is left out, consolidate() mends it before.
+    """
+    kind, shard_kind = (sharded.schema[c].dataType.simpleString() for c in (id_col, "shard"))
+    columns = ["shard", id_col, vector_col]
+    rows = sharded.select(*columns, F.lit(False).alias("new")).unionByName(added.select(*columns, F.lit(True).alias("new")))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(id_col)
+        vectors, neighbours, entry = _graph_of(table, id_col, vector_col)
+        for i in np.nonzero(table.column("new").to_numpy())[0].tolist():
+            _link(i, vectors, neighbours, entry, degree, effort, alpha)
+        return _edge_table(table.column(id_col), neighbours, entry, table.column("shard")[0])
+
+    return _with_lists(rows, edges, id_col).groupBy("shard").applyInArrow(run, f"shard {shard_kind}, src {kind}, dst {kind}, slot int, entry {kind}")
+
+
+def dispatch(vectors: DataFrame, dim: int, budget_bytes: int, degree: int = DEGREE, effort: int = EFFORT, alpha: float = ALPHA, seed: int = 1234, id_col: str = "id", vector_col: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """(sharded, edges): one graph if its build fits the budget, else overlapping shards around k-means centres, each of which does."""
+    n = shards_for(vectors.count() * 2, dim, budget_bytes, degree)  # each row is in two shards
+    if n <= 2:
+        sharded = vectors.select(id_col, vector_col, F.lit(0).alias("shard"))
+    else:
+        sharded = shard_assignment(vectors, kmeans(vectors, n, 5, id_col=id_col, vector_col=vector_col), 2, id_col, vector_col)
+    sharded = cut(sharded)
+    return sharded, build_shards(sharded, degree, effort, alpha, seed, id_col, vector_col)
+
+
+def save(edges: DataFrame, path: str, degree: int = DEGREE) -> None:
+    """Write the edges of graphs by shard as a snapshot: edges/ and a one-row meta/ that load() holds them against."""
+    edges.write.parquet(f"{path}/edges")
+    _facts(edges.sparkSession.read.parquet(f"{path}/edges")).withColumn("degree", F.lit(degree)).coalesce(1).write.parquet(f"{path}/meta")
+
+
+def _facts(edges: DataFrame) -> DataFrame:
+    shards = F.countDistinct("shard").alias("shards")
+    return edges.agg(F.count("*").alias("edges"), shards, F.coalesce(F.sum(F.xxhash64("shard", "src", "dst", "slot").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum"))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The edges that save() wrote, if they are whole and form graphs: no loops or repeats, degrees as stated, one entry a shard."""
+    edges, meta = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/meta").first()
+    if _facts(edges).first().asDict() != {k: v for k, v in meta.asDict().items() if k != "degree"}:
+        raise InvalidArgument(f"the graph under {path} is not what was written", "open")
+    rows = edges.groupBy("shard", "src").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("distinct"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+    bad = rows.where((F.col("n") > meta["degree"]) | (F.col("n") != F.col("distinct")) | (F.col("loops") > 0)).limit(1).count()
+    if bad or edges.groupBy("shard").agg(F.countDistinct("entry").alias("n")).where("n <> 1").limit(1).count():
+        raise InvalidArgument(f"the edges under {path} are no graph of degree {meta['degree']}", "open")
+    return edges
+
+
 def merge_shards(edges: DataFrame, degree: int = DEGREE, seed: int = 42) -> DataFrame:
     """(src, dst, slot): the shards' edges as one graph: no loops, no repeats, a seeded random `degree` of each row's."""
     rows = edges.where("src <> dst").select("src", "dst").distinct()
@@ -172,9 +253,6 @@ def search_shards(sharded: DataFrame, edges: DataFrame, queries: DataFrame, limi
     Rows that aren't admitted are walked through but not returned, and a shard is searched with wider beams until it
     has found `limit` admitted rows or all it can reach.
     """
-    asked = [(r[0], r[1]) for r in queries.select("query_id", "query").collect()]  # the caller's query set
-    q = np.array([r[1] for r in asked], dtype=np.float32)
-    query_ids = pa.array([r[0] for r in asked], to_arrow_type(queries.schema["query_id"].dataType))
     kind, query_kind = (sharded.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString())
     rows = sharded.select("shard", id_col, vector_col)
     if admitted is None:
@@ -182,16 +260,21 @@ def search_shards(sharded: DataFrame, edges: DataFrame, queries: DataFrame, limi
     else:
         ok = admitted.select(F.col(id_col).alias("__id"), F.lit(True).alias("ok")).distinct()
         rows = rows.join(ok, F.col(id_col) == F.col("__id"), "left").drop("__id").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    lists = edges.groupBy("shard", "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "dst"))), lambda x: x["dst"]).alias("near"), F.first("entry").alias("entry"))  # degree edges a row
-    rows = rows.join(lists.withColumnRenamed("shard", "__s"), (F.col("shard") == F.col("__s")) & (F.col(id_col) == F.col("src")), "left").drop("__s", "src")
+    rows, hits = _with_lists(rows, edges, id_col), None
+    for ids, q in slices(queries):
+        found = _searched(rows, pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType)), q, limit, effort, metric, id_col, vector_col, f"query_id {query_kind}, {id_col} {kind}, distance float")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = rows.join(queries.limit(0).select("query_id")).select("query_id", id_col, F.lit(0.0).cast("float").alias("distance"))
+    best = hits.groupBy("query_id", id_col).agg(F.min("distance").alias("distance"))
+    return ranked(best, limit, id_col)
+
 
+def _searched(rows: DataFrame, query_ids: pa.Array, q: np.ndarray, limit: int, effort: int, metric: str, id_col: str, vector_col: str, schema: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(id_col)
-        ids, ok = table.column(id_col).to_pylist(), np.array(table.column("ok").to_pylist())
-        at = {x: k for k, x in enumerate(ids)}
-        vectors = batch_vectors(table.column(vector_col).combine_chunks()).astype(np.float32)
-        neighbours = [[at[j] for j in x or [] if j in at] for x in table.column("near").to_pylist()]
-        entry = next((at[x] for x in table.column("entry").to_pylist() if x is not None), 0)
+        ok = np.array(table.column("ok").to_pylist())
+        vectors, neighbours, entry = _graph_of(table, id_col, vector_col)
         out = []
         for k in range(len(q)):
             width = max(effort, limit)
@@ -205,6 +288,4 @@ def search_shards(sharded: DataFrame, edges: DataFrame, queries: DataFrame, limi
         qk, ik, d = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": query_ids.take(pa.array(qk, pa.int64())), id_col: table.column(id_col).take(pa.array(ik, pa.int64())), "distance": pa.array(d, pa.float32())})
 
-    hits = rows.groupBy("shard").applyInArrow(run, f"query_id {query_kind}, {id_col} {kind}, distance float")
-    best = hits.groupBy("query_id", id_col).agg(F.min("distance").alias("distance"))
-    return ranked(best, limit, id_col)
+    return rows.groupBy("shard").applyInArrow(run, schema)

@@ -146,7 +146,7 @@ def recall(hits: DataFrame, truth: DataFrame, limit: int, id_col: str = "id") ->
     """(recall): hits that are in the truth over queries times limit; an id that a result repeats counts again."""
     found = hits.join(truth.select("query_id", id_col).distinct(), ["query_id", id_col], "left_semi")
     n = truth.select("query_id").distinct().agg(F.count("*").alias("q"))
-    return found.agg(F.count("*").alias("found")).join(F.broadcast(n)).select((F.col("found") / (F.col("q") * limit)).alias("recall"))
+    return found.agg(F.count("*").alias("found")).join(F.broadcast(n)).select(F.try_divide(F.col("found"), F.col("q") * limit).alias("recall"))
 
 
 def selectivity(collection: DataFrame, where: Column, sample: int = 256, id_col: str = "id") -> DataFrame:

@@ -16,7 +16,7 @@ from vantor.operators.search import search
 from vantor.sources.shared import cut
 
 #: Where a sentence ends, unless what comes before looks like an abbreviation.
-SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=[.?!。？！])\s*"
+SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!|。|？|！)\s*"
 #: Question and answer pairs that a query carries along, and what stands between them and the question.
 HISTORY = 3
 NEW_QUESTION = "\n\nNew question："

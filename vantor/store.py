@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -97,10 +99,11 @@ class Engine:
         self.spark, self.path, self.read_only = spark, path, read_only
         self.files = Files(spark, path)
         self._open: dict[str, list[Collection]] = {}
-        self._closed = False
+        self._closed = self._draining = False
+        self._writes, self._idle = 0, threading.Condition()
 
     def _check(self, writing: bool = False) -> None:
-        if self._closed:
+        if self._closed or (writing and self._draining):
             raise Closed("the engine is closed", "admission")
         if writing and self.read_only:
             raise NotSupported("the engine is read-only", "admission", "readonly_instance")
@@ -142,7 +145,27 @@ class Engine:
             raise Conflict(f"collection {name!r} is open", "close")
         self.files.delete(folder)
 
+    @contextmanager
+    def _admitted(self) -> Iterator[None]:
+        """A write that drain() waits for."""
+        with self._idle:
+            self._check(writing=True)
+            self._writes += 1
+        try:
+            yield
+        finally:
+            with self._idle:
+                self._writes -= 1
+                self._idle.notify_all()
+
+    def drain(self, timeout: float | None = None) -> bool:
+        """Refuse new writes from now on and wait for those that have begun; whether all have ended."""
+        with self._idle:
+            self._draining = True
+            return self._idle.wait_for(lambda: self._writes == 0, timeout)
+
     def close(self) -> None:
+        self.drain()
         for opened in self._open.values():
             for x in opened:
                 x.close()
@@ -158,6 +181,8 @@ class Engine:
 class Collection:
     """A named set of records (id, vector, document, metadata, version)."""
 
+    cell = CELL
+
     def __init__(self, engine: Engine, name: str, read_only: bool) -> None:
         self.engine, self.name, self.read_only, self.closed = engine, name, read_only, False
         self.spark, self.files, self.path = engine.spark, engine.files, f"{engine.path}/{name}"
@@ -358,6 +383,10 @@ class Collection:
                 found[r["status"]] = found.get(r["status"], 0) + r["count"]
         return {"matched": n, "deleted": found.get("deleted", 0), "not_found": found.get("not_found", 0), "batches": -(-n // batch_size)}
 
+    def delete_by_filter(self, where: dict) -> dict:
+        """delete_where() with a commit for each record, in order of id."""
+        return self.delete_where(where, batch_size=1)
+
     def write(self, rows: DataFrame, op: str, mode: str = "atomic", idempotency_key: str | None = None) -> DataFrame:
         """Apply a batch of any size: rows has pos and id, and vector, document, metadata unless op is delete.
 
@@ -367,6 +396,10 @@ class Collection:
         counts once its manifest is published.
         """
         self._require(writing=True)
+        with self.engine._admitted():
+            return self._write(rows, op, mode, idempotency_key)
+
+    def _write(self, rows: DataFrame, op: str, mode: str, idempotency_key: str | None) -> DataFrame:
         if mode not in ("atomic", "partial"):
             raise InvalidArgument("mode must be atomic or partial")
         if idempotency_key is not None and (not isinstance(idempotency_key, str) or not idempotency_key):
@@ -449,8 +482,11 @@ class Collection:
             segment |= {"codes": f"sealed/{name}-codes", "centre": [float(x) for x in model.centre], "unit": model.unit}
         return segment
 
-    def seal(self) -> dict:
-        """Turn the log into a sealed segment of one row an id."""
+    def prepare_seal(self) -> dict:
+        """Write the log as a sealed segment of one row an id, beside what is read; install() puts it in place of the log.
+
+        Writes may go on meanwhile: their log segments stay and count for more.
+        """
         self._require(writing=True)
         m = self._manifest()
         active = [x for x in m["segments"] if x["kind"] == "log"]
@@ -459,10 +495,24 @@ class Collection:
         graph = isinstance(self.config.index, c.GraphIndex)
         if graph and self.count() <= MIN_GRAPH_ROWS:
             raise InvalidArgument(f"a graph index needs more than {MIN_GRAPH_ROWS} live rows", "freeze")
-        segment = self._image(latest(self._read(active)), graph)
-        kept = [x for x in m["segments"] if x["kind"] == "sealed"]
-        new = self._commit(m, segments=[*kept, segment], retired=m["retired"] + _paths(active), history_from=m["watermark"])
-        return {"version": new["version"], "rows": segment["rows"], "segments": len(new["segments"])}
+        return {"segment": self._image(latest(self._read(active)), graph), "replaces": [x["path"] for x in active], "history_from": m["watermark"]}
+
+    def install(self, prepared: dict) -> dict:
+        """Put a prepared segment in place of those it was made of; Conflict if one of these is gone."""
+        self._require(writing=True)
+        m = self._manifest()
+        old = [x for x in m["segments"] if x["path"] in prepared["replaces"]]
+        if len(old) != len(prepared["replaces"]):
+            raise Conflict("segments were changed since", "install")
+        at = m["segments"].index(old[0])
+        kept = [x for x in m["segments"] if x not in old]
+        segments = [*kept[:at], prepared["segment"], *kept[at:]]
+        new = self._commit(m, segments=segments, retired=m["retired"] + _paths(old), history_from=max(m["history_from"], prepared["history_from"]))
+        return {"version": new["version"], "rows": prepared["segment"]["rows"], "segments": len(new["segments"])}
+
+    def seal(self) -> dict:
+        """Turn the log into a sealed segment of one row an id."""
+        return self.install(self.prepare_seal())
 
     def compact(self) -> dict:
         """Merge the sealed segments, if there are two or more, into one without tombstones."""
@@ -559,6 +609,22 @@ class Collection:
     def export(self, path: str) -> None:
         self.records().write.parquet(path)
 
+    def batches(self, path: str, rows: int = 10_000) -> Iterator[pa.Table]:
+        """The live rows (id, vector, version) of a sealed segment in order of id, at most so many at a time."""
+        self._require()
+        found = [x for x in self._manifest()["segments"] if x["path"] == path and x["kind"] == "sealed"]
+        if not found:
+            raise NotFound(f"no sealed segment {path!r}")
+        live = self._read(found).where("op = 'write'").select("id", "vector", F.col("seq").alias("version"))
+        held = []
+        for r in live.orderBy("id").toLocalIterator():
+            held.append((r.id, r.vector, r.version))
+            if len(held) >= rows:
+                yield _table(held)
+                held = []
+        if held:
+            yield _table(held)
+
     def close(self) -> None:
         self.closed = True
 
@@ -569,6 +635,11 @@ class Collection:
         self.close()
 
 
+def _table(rows: list[tuple]) -> pa.Table:
+    ids, vectors, versions = zip(*rows, strict=True)
+    return pa.table({"id": pa.array(ids), "vector": pa.array(vectors), "version": pa.array(versions, pa.int64())})
+
+
 def _paths(segments: list[dict]) -> list[str]:
     return [x[k] for x in segments for k in ("path", "codes") if k in x]
 
