@@ -139,3 +139,15 @@ def test_sample_is_bounded_and_outside_the_fold(spark, edge_labels):
     assert len(set(ids)) == 100 and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
     assert MAX_LABELLED == 20_000
     assert {r.doc_id: r.label for r in labelled_sample(edge_labels, "quality", 10).collect()}.get(5, 1) == 1
+
+
+def test_repeated_ids_count_once_in_a_fit(spark, monkeypatch):
+    from vantor.llm import quality_classifier
+
+    rows = spark.range(400).selectExpr("id % 40 AS doc_id", "concat('some words ', id) AS text", "'s' AS source", "'en' AS lang", "9L AS n_chars")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "co_train", lambda x, m, y, px, pm: seen.append((len(y), len(px))) or quality_classifier.Model())
+    quality_classifier.fit(rows, labels)
+    fit_rows = labels.where("crc32(cast(doc_id AS string)) % 5 <> 0").count()
+    assert seen == [(fit_rows, 40 - fit_rows)]

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from vantor.llm.mixing import MAX_EPOCHS, Mix, mixed_documents, taken_words
@@ -143,3 +144,19 @@ def test_small_sources_beside_a_large_one(spark, monkeypatch):
     for r in mix.pieces(mix.placed()).collect():
         words[r.source] += r.n_words
     assert words == taken
+
+
+def test_rows_without_an_id_or_of_one_id_are_spread(spark):
+    """Blocks of the deal and parts of a source, so that no window has them all; every row is dealt and mixed."""
+    from vantor.llm.sharding import BLOCKS
+
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7L ELSE id END AS doc_id", "concat('text number ', id) AS text", "'s' AS source")
+    got = shard_table(rows)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) - min(sizes) <= 1
+    block = F.pmod(F.xxhash64("doc_id", F.crc32("text"), F.lit(20_259)), F.lit(BLOCKS))
+    assert rows.groupBy(block).count().agg(F.max("count")).first()[0] < 30
+    mix = Mix(rows)
+    assert mix.sized.groupBy("__part").count().agg(F.max("count")).first()[0] < 30
+    taken = taken_words(rows)
+    assert taken.count() == 6000 and taken.agg(F.sum("taken")).first()[0] == taken.agg(F.sum("size")).first()[0]

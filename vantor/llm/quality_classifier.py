@@ -188,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     ids = known.unionByName(ids)  # at most max_labelled + max_pool rows
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(ids), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(_features_of, f"doc_id {kind}, label int, x array<double>, m array<bigint>").toArrow().sort_by("doc_id")
+    features = rows.mapInArrow(_features_of, f"doc_id {kind}, label int, x array<double>, m array<bigint>")
+    # of rows that repeat an id one counts, so that no more rows come than ids were chosen
+    got = features.groupBy("doc_id").agg(F.min(F.struct("label", "x", "m")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     label = np.array([-1 if v is None else v for v in got["label"].to_pylist()], dtype=np.int64)
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, TEXT_FEATURES)
     m = np.array(got["m"].to_pylist(), dtype=np.int64).reshape(-1, 3)

@@ -18,13 +18,14 @@ MIN_GROUP, MIN_POSITIVE = 200, 50
 #: A fence stands so many times the distance between the quartiles beyond them.
 FENCE = 4
 #: Most texts have no repeats: where there are some, their share is spread evenly by its logarithm, and the fence stands
-#: this far above the median: three standard deviations, of which the quartiles are 1.349 apart. Quartiles whose ratio
-#: is below LEAST_RATIO count as if it were that.
-REACH, LEAST_RATIO = 3 / 1.349, 2.0
+#: some standard deviations above the median, of which the quartiles are 1.349 apart. Quartiles whose ratio is below
+#: LEAST_RATIO count as if it were that.
+APART, LEAST_RATIO = 1.349, 2.0
 #: Nor is a text an outlier for up to one symbol in ten words, where its group has none at all and so no spread.
 TOLERANCE = 100
-#: metric: the kind of its fences. `both` and `high` follow the quartiles of all values, `positive` those above 0.
-METRICS = {"word_length": "both", "symbols": "high", "dup_lines": "positive", "repeats": "positive"}
+#: metric: the kind of its fences. `both` and `high` follow the quartiles of all values, a number those of the values above
+#: 0, so many standard deviations beyond.
+METRICS = {"word_length": "both", "symbols": "high", "dup_lines": 2.5, "repeats": 3.0}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -109,11 +110,11 @@ def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     return merged.groupBy(*by, "metric").agg(*counts, at(0.25).alias("q1"), at(0.75).alias("q3"), *[above(k / 4).alias(f"p{k}") for k in (1, 2, 3)])
 
 
-def _fences(kind: str) -> tuple[Column, Column, Column]:
+def _fences(kind: str | float) -> tuple[Column, Column, Column]:
     """(lower fence, upper fence, whether the group has enough values for them) from a row of quantiles()."""
     reach = FENCE * (F.col("q3") - F.col("q1"))
-    if kind == "positive":
-        high = F.col("p2") * F.pow(F.greatest(F.col("p3") / F.col("p1"), F.lit(LEAST_RATIO)), F.lit(REACH))
+    if isinstance(kind, float):
+        high = F.col("p2") * F.pow(F.greatest(F.col("p3") / F.col("p1"), F.lit(LEAST_RATIO)), F.lit(kind / APART))
         return F.lit(-1.0), high, F.col("positive") >= MIN_POSITIVE
     if kind == "high":
         return F.lit(-1.0), F.col("q3") + reach + TOLERANCE, F.col("rows") >= MIN_GROUP
@@ -130,7 +131,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         cells = []
         for metric, kind in METRICS.items():
             low, high, enough = _fences(kind)
-            enough = F.lit(True) if not by and kind != "positive" else enough  # all rows are never too few for quartiles
+            enough = F.lit(True) if not by and isinstance(kind, str) else enough  # all rows are never too few for quartiles
             cells += [F.max(F.when((F.col("metric") == metric) & enough, v)).alias(f"{prefix}{side}_{metric}") for side, v in (("low", low), ("high", high))]
         return q.groupBy(*by).agg(*cells)
 
@@ -145,17 +146,17 @@ def filter_rules(docs: DataFrame) -> DataFrame:
     """measured() with base_failed, kept and failed_rules (the metrics beyond their thresholds), a row for each row of docs.
 
     A row that fails a base rule (fewer than 50 words, or more than half of them in repeated windows) is not kept; any
-    other is kept unless a metric stands outside the fences of its language and source, if there are enough values for
-    fences. Null texts count as empty; a
+    other is kept unless a metric stands outside the fences of its language and source, which follow the rows that pass
+    the base rules, if there are enough values for them. Null texts count as empty; a
     null language or source is a group of its own; ties with a threshold are kept; an empty table gives an empty one;
     columns beyond doc_id, text, lang, source are ignored.
     """
-    rows = cut(measured(docs))
-    limits = cut(thresholds(sketches(rows))).withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rows = cut(measured(docs).withColumn("base_failed", base))
+    limits = cut(thresholds(sketches(rows.where(~F.col("base_failed"))))).withColumnsRenamed({"lang": "lang_", "source": "source_"})
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
     outside = [F.when(F.coalesce((v > F.col(f"high_{m}")) | (v < F.col(f"low_{m}")), F.lit(False)), F.lit(m)) for m, v in _values().items()]
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.join(limits, same, "left").withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*outside))})
+    rows = rows.join(limits, same, "left").withColumn("failed_rules", F.array_compact(F.array(*outside)))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     return rows.drop("lang_", "source_")
 
@@ -165,13 +166,14 @@ _PARTS = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols"
 
 def _oracle() -> str:
     values = ", ".join(f"CASE WHEN {b} = 0 THEN 0 ELSE {by} * {a} // {b} END AS {m}" for m, (a, b, by) in _PARTS.items())
-    union = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS value FROM v WHERE n_words > 0" for m in METRICS)
+    union = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS value FROM v WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words" for m in METRICS)
     reach = f"{FENCE} * (q3 - q1)"
 
     def level(name: str, by: str) -> str:
         keys, comma = by, ", " if by else ""
-        enough = lambda kind: f"positive >= {MIN_POSITIVE}" if kind == "positive" else f"rows_ >= {MIN_GROUP}" if by else "true"
-        upper = {"positive": f"p2 * pow(greatest(p3 / p1, {LEAST_RATIO}::DOUBLE), {REACH!r}::DOUBLE)", "high": f"q3 + {reach} + {TOLERANCE}", "both": f"q3 + {reach}"}
+        enough = lambda kind: f"positive >= {MIN_POSITIVE}" if isinstance(kind, float) else f"rows_ >= {MIN_GROUP}" if by else "true"
+        powers = {k: f"p2 * pow(greatest(p3 / p1, {LEAST_RATIO}::DOUBLE), {k / APART!r}::DOUBLE)" for k in METRICS.values() if isinstance(k, float)}
+        upper = powers | {"high": f"q3 + {reach} + {TOLERANCE}", "both": f"q3 + {reach}"}
         high = "CASE " + " ".join(f"WHEN metric = '{m}' AND {enough(kind)} THEN {upper[kind]}" for m, kind in METRICS.items()) + " END"
         low = "CASE " + " ".join(f"WHEN metric = '{m}' AND {enough(kind)} THEN {'q1 - ' + reach if kind == 'both' else -1}" for m, kind in METRICS.items()) + " END"
         above = lambda q: f"min(CASE WHEN bucket > 0 AND up_to - zeros > floor((rows_ - zeros - 1) * {q}) THEN val END)"
