@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from struct import pack
 from zlib import crc32
 
 import numpy as np
@@ -36,9 +37,11 @@ class Terms(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        terms = [word, *[b"^%d " % n + word[:n] if len(word) >= n else None for n in PREFIXES]]
-        found = np.array([0 if t is None else 1 + crc32(t) % (DIMENSIONS - 1) for t in terms], dtype=np.int32).tobytes()
-        self[word] = found
+        # a beginning's hash starts from its length, so that it is no word's
+        at = [1 + crc32(word) % (DIMENSIONS - 1)]
+        for n in PREFIXES:
+            at.append(1 + crc32(word[:n], n) % (DIMENSIONS - 1) if len(word) >= n else 0)
+        found = self[word] = pack(f"={len(at)}i", *at)
         return found
 
     def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
