@@ -224,7 +224,8 @@ _TABLE: list[tuple[str, int, str, list[str]]] = [
     ("polyform", 2, "polyform", [f"polyform (?:noncommercial|small business|shield|strict|internal use|perimeter|free trial)(?: {_LIC})?"]),
     ("parity", 2, "parity public", [f"parity public {_LIC}"]),
     ("blueoak-1.0", 2, "blue oak model", [f"blue oak model {_LIC}(?: 1 0 0)?"]),
-    ("openrail", 2, "rail", [f"(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: {_LIC})?"]),
+    ("openrail", 2, "openrail", [f"(?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: {_LIC})?"]),
+    ("openrail", 2, "open rail", [f"(?:creativeml |bigscience |bigcode )?open rail(?: m)?(?: {_LIC})?"]),
     ("llama", 2, "llama", [f"llama (?:[23] )?(?:[0-9] )?community {_LIC}"]),
     ("hippocratic", 2, "hippocratic licen", [f"hippocratic {_LIC}"]),
     ("mulan-2.0", 2, "mulan", [f"mulan p(?:sl|ermissive software {_LIC})(?: ?v?2)?"]),
