@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.llm.conftest import SF
-from vantor.llm.near_copies import near_copies
+from vantor.llm.near_copies import _near, band_keys, near_copies, printed, shingles, signatures, simhash
 from vantor.llm.simhash_dedup import keep_one
 
 
@@ -56,3 +56,44 @@ def test_groups_against_all_pairs(spark):
                 x, y = sorted((root(a), root(b)), key=hashes.get)
                 parent[y] = x
     assert names == {hashes[t]: hashes[root(t)] for t in texts}
+
+
+def edited(rng, words, edits):
+    return " ".join(f"x{rng.randrange(10**6)}" if k in edits else w for k, w in enumerate(words))
+
+
+def test_fingerprints_with_deletion_variants_give_candidates(spark):
+    """The stage's named method: all pairs within two bits are connected, and they are measured before any band."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(5000)}" for _ in range(800)]
+    rows = [(k, edited(rng, words, {rng.randrange(800)})) for k in range(60)] + [(100 + k, f"other text {k}") for k in range(5)]
+    found = signatures(spark.createDataFrame(rows, "h long, text string")).cache()
+    prints = {r.h: r.print for r in found.collect()}
+    assert prints == {k: simhash(shingles(t.encode())) for k, t in rows}
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2 and prints[a] * prints[b] >= 0}
+    parent = {k: k for k in prints}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    got = {(r.a, r.b) for r in printed(found).collect()}
+    for a, b in got:
+        parent[root(b)] = root(a)
+    assert len(near) > 10 and all(root(a) == root(b) for a, b in near)
+
+
+def test_bits_leave_out_half_similar_pairs(spark):
+    """Pairs of a large group that are similar by 0.65 or less were measured one by one: one bit of a minimum kept a sixth of them."""
+    rng, rows = random.Random(5), {True: [], False: []}
+    for k in range(300):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        other = edited(rng, words, set(rng.sample(range(400), 7 if k % 2 else 19)))
+        a, b = " ".join(words), other
+        alike = jaccard(grams(a), grams(b))
+        if alike >= 0.8 or alike <= 0.65:
+            p, q = (band_keys(shingles(t.encode()))[1].tolist() for t in (a, b))
+            rows[alike >= 0.8].append((p, q))
+    share = {k: spark.createDataFrame(v, "p array<long>, q array<long>").where(_near("p", "q")).count() / len(v) for k, v in rows.items()}
+    assert min(map(len, rows.values())) > 80 and share[True] >= 0.98 and share[False] <= 0.05

@@ -115,6 +115,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies, linked by five-word shingles with a similarity of 0.8 or more.
 
+    Candidates come from fingerprints with deletion variants, and from MinHash bands for what those don't reach.
     It has the smallest id of the group (of rows that repeat the id, the first by text).
     """
     return one_of_each(docs, cut(near_copies(docs)))
