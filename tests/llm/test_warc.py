@@ -5,7 +5,9 @@ import glob
 import gzip
 import hashlib
 
-from vantor.llm.warc import captures, parse, read_records, round_trip, write_archives
+from pyspark.sql import functions as F
+
+from vantor.llm.warc import base32, captures, parse, read_records, round_trip, write_archives
 
 
 def pages(spark, rows):
@@ -56,3 +58,12 @@ def test_missing_partner(spark, tmp_path):
     found = read_records(spark, path).where("NOT (record_type = 'request' AND target = 'u')")
     nested = captures(found).select("capture.*").collect()
     assert sorted(r.request is None for r in nested) == [False, True]
+
+
+def test_base32_in_three_steps(spark):
+    """There was a conversion for every four letters, within a lambda."""
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(300)] + ["0" * 40, "f" * 40, "0" * 39 + "1", "8" + "0" * 39, "0" * 15 + "f" * 25]
+    found = spark.createDataFrame([(h,) for h in hexes], "h string").select("h", base32(F.col("h")).alias("b"))
+    assert {r.h: r.b for r in found.collect()} == {h: base64.b32encode(bytes.fromhex(h)).decode() for h in hexes}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("conv(") == 3 and "transform(" not in plan

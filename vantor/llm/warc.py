@@ -24,28 +24,25 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32(hexes: Column) -> Column:
-    """Upper-case base32 of 40 hexadecimal digits: five of them are four letters."""
-    def letters(k: Column) -> Column:
-        n = F.conv(F.substring(hexes, k * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(BASE32), F.shiftright(n, 15 - 5 * j).bitwiseAND(31) + 1, F.lit(1)) for j in range(4)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+    """Upper-case base32 of 40 hexadecimal digits: three of them are twelve bits, so digits are converted 15 at a time."""
+    part = lambda at, n: F.lpad(F.conv(F.substring(hexes, at, n), 16, 32), n * 4 // 5, "0")
+    return F.translate(F.concat(part(1, 15), part(16, 15), part(31, 10)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(record): the request, response or revisit, and metadata records of each row of pages.
 
-    Only (page_id, digest) is grouped, and only digests that stand twice are joined again: payloads stay where they are
+    Only (page_id, SHA-1) is grouped, and only digests that stand twice are joined again: payloads stay where they are
     if these are few, and move once if not, when a popular payload's rows can be split. Of rows with equal payloads of
     min_bytes or more, those with the smallest page_id are responses.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("n"), base32(F.sha1(payload)).alias("digest"))
-    first = rows.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("times"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("n"), F.sha1(payload).alias("sha1"))
+    first = rows.groupBy(F.col("sha1").alias("d")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("times"))
     first = cut(first.where("times > 1").drop("times"))
-    rows = rows.join(sized(first), F.col("digest") == F.col("d"), "left").drop("d")
+    rows = rows.join(sized(first), F.col("sha1") == F.col("d"), "left").drop("d")
     revisit = F.coalesce((F.col("n") >= min_bytes) & (F.col("page_id") > F.col("first_id")), F.lit(False))
-    rows = rows.select("*", revisit.alias("revisit"), F.expr("uuid()").alias("u"))
+    rows = rows.select("*", revisit.alias("revisit"), base32(F.col("sha1")).alias("digest"), F.expr("uuid()").alias("u"))
 
     def record(kind: Column | str, header: list, block: Column, mime: str) -> Column:
         kind = F.lit(kind) if isinstance(kind, str) else kind
