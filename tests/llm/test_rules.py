@@ -264,3 +264,19 @@ def test_line_dedup_edges(spark, edge_docs, empty_docs):
     assert {r.doc_id for r in pairs if r.n_removed} == {2, 4, 6}
     cleaned = {r.doc_id: r.text for r in line_dedup.cleaned(rows).collect()}
     assert cleaned == {1: long_line, 2: "short line", 3: ""}
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_line_dedup_finds_all_replaced_letters_in_short_lines(spark, n):
+    """Both halves of such a line may have changed letters, so that neither its beginning nor its end is whole."""
+    import random
+
+    rng, rows = random.Random(n), []
+    for k in range(150):
+        a = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(5, 9))) for _ in range(n))
+        b = list(a)
+        for at in rng.sample([i for i, x in enumerate(a) if x != " "], max(2, len(a) // 5) if k % 2 else 2):
+            b[at] = "x"
+        rows += [(2 * k, a), (2 * k + 1, "".join(b))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == 0 and got[2 * k + 1] == 1 for k in range(150))
