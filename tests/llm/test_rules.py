@@ -280,3 +280,37 @@ def test_line_dedup_finds_all_replaced_letters_in_short_lines(spark, n):
         rows += [(2 * k, a), (2 * k + 1, "".join(b))]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[2 * k] == 0 and got[2 * k + 1] == 1 for k in range(150))
+
+
+def test_line_dedup_makes_no_pairs_of_chance_keys(spark, monkeypatch):
+    """Lines that share two long words and little else were each joined with every other and its text; similar ones still are."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, made = random.Random(4), []
+    lines = [" ".join(["characteristically"] + rng.choices(VOCABULARY, k=10) + ["incomprehensibility"] + rng.choices(VOCABULARY, k=10)) for _ in range(80)]
+    rows = list(enumerate(lines + [x.replace("incompre", "incombre") for x in lines[:10]]))
+    real = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, texts: made.append(pairs.count()) or real(pairs, texts))
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, n in got.items() if n} == set(range(80, 90)) and sum(made) < 500
+    # whatever the masks leave out, the full comparison rejects
+    short = [" ".join(x.split()[:4]) for x in lines[:30]]
+    texts = line_dedup.cut(spark.createDataFrame([(k, x) for k, x in enumerate(lines[:10] + [x + " more" for x in lines[:10]] + short + [x[:-2] + "xy" for x in short])], "id long, t string"))
+    of = line_dedup.masks(texts)
+    pairs = line_dedup._masked(line_dedup._masked(texts.select(F.col("id").alias("a")).crossJoin(texts.select(F.col("id").alias("b"))).where("a < b"), of, "a", "p"), of, "b", "q")
+    left_out = pairs.where(~line_dedup._may()).select("a", "b")
+    assert left_out.count() > 1000 and line_dedup.verified(left_out, texts).count() == 0
+
+
+def test_released_frames_leave_no_files(spark):
+    import os
+
+    from vantor.llm.common import cut, released
+
+    frame = cut(spark.range(100).repartition(3))
+    path = frame._jdf.logicalPlan().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.listdir(path)
+    released(frame)
+    assert not os.path.exists(path)
