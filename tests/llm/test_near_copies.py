@@ -97,3 +97,19 @@ def test_bits_leave_out_half_similar_pairs(spark):
             rows[alike >= 0.8].append((p, q))
     share = {k: spark.createDataFrame(v, "p array<long>, q array<long>").where(_near("p", "q")).count() / len(v) for k, v in rows.items()}
     assert min(map(len, rows.values())) > 80 and share[True] >= 0.98 and share[False] <= 0.05
+
+
+def test_measured_pairs_leave_no_files(spark):
+    """Files of pairs and shingles stayed until the job's end, beside each other's and the shuffles that made them."""
+    import os
+
+    from vantor.llm.common import cut
+    from vantor.llm.near_copies import measured
+
+    texts = spark.createDataFrame([(k, "one two three four five six " + "seven " * (k % 2)) for k in range(6)], "h long, text string")
+    pairs = cut(spark.createDataFrame([(0, 2), (0, 1), (1, 3)], "a long, b long"))
+    of = lambda df: df._jdf.logicalPlan().rdd().getCheckpointFile().get().removeprefix("file:")
+    root, before = os.path.dirname(of(pairs)), set(os.listdir(os.path.dirname(of(pairs))))
+    found = measured(pairs, None, texts)
+    assert {(r.a, r.b): r.alike for r in found.collect()} == {(0, 2): 1.0, (0, 1): 2 / 3, (1, 3): 1.0}
+    assert set(os.listdir(root)) - before == {os.path.basename(of(found))} and not os.path.exists(of(pairs))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantor.llm.common import cut, sized
+from vantor.llm.common import cut, released, sized
 from vantor.llm.components import connected_components
 from vantor.llm.decontaminate import _mix, shingle_hashes
 
@@ -137,10 +137,12 @@ def printed(rows: DataFrame) -> DataFrame:
 def measured(pairs: DataFrame, rows: DataFrame | None, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bits (in rows, if that isn't None) are near, with their exact similarity, alike. Many b may share an a.
 
-    Shingles are joined and intersected in the JVM, a pair at a time, so that no batch of texts is ever held.
+    pairs must be written; their files are deleted. Shingles are joined and intersected in the JVM, a pair at a time, so that no batch of texts is ever held.
     """
+    done = [pairs]
     if rows is not None:
         pairs = cut(_with_bits(_with_bits(pairs, rows, "a", "p"), rows, "b", "q").where(_near("p", "q")).select("a", "b"))
+        done.append(pairs)
     leads = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("shares")))
     wanted = cut(leads.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     known = texts.join(sized(wanted), "h", "left_semi").dropDuplicates(["h"])
@@ -148,12 +150,16 @@ def measured(pairs: DataFrame, rows: DataFrame | None, texts: DataFrame) -> Data
     total = known.agg(F.sum(F.size("s").cast("long") * 8 + 24)).first()[0] or 0
     if total <= SENT:
         both = pairs.join(F.broadcast(known.toDF("b", "sb")), "b").join(F.broadcast(known.toDF("a", "sa")), "a")
-        return cut(_alike(both))
+        found = cut(_alike(both))
+        released(*done, leads, wanted, known)
+        return found
     dealt = pairs.join(sized(leads), "a").withColumn("share", F.pmod(F.xxhash64("b"), "shares"))
     of_a = leads.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     of_a = of_a.join(known.toDF("a", "sa"), "a")
     both = dealt.join(known.toDF("b", "sb"), "b").join(of_a, ["a", "share"])
-    return cut(_alike(both))
+    found = cut(_alike(both))
+    released(*done, leads, wanted, known)
+    return found
 
 
 def _alike(both: DataFrame) -> DataFrame:
@@ -185,6 +191,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     buckets = dealt.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("h").alias("a"), F.min_by("n", "h").alias("m"))
     buckets = cut(buckets.where("size > 1").drop("size"))
     crowded = cut(dealt.join(sized(buckets), ["band", "key"]).where("h <> a"))
+    released(buckets)
     tried = measured(cut(printed(rows)), rows, texts)
     for low, high in STEPS:
         groups = cut(connected_components(tried.where(F.col("alike") >= SIMILARITY).select("a", "b")))
@@ -202,6 +209,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     more = _with_bits(same, rows, "h", "p", keys=True).join(lost, ["band", "key"]).where((F.col("g") != F.col("gx")) & _fits("n", "m") & near & _near("p", "q") & once)
     more = more.select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b")).distinct()
     more = cut(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    released(crowded)
     if more.limit(1).count():
         links = tried.unionByName(measured(more, None, texts)).where(F.col("alike") >= SIMILARITY)
         groups = cut(connected_components(links.select("a", "b")))
