@@ -304,6 +304,22 @@ def test_line_dedup_makes_no_pairs_of_chance_keys(spark, monkeypatch):
     assert left_out.count() > 1000 and line_dedup.verified(left_out, texts).count() == 0
 
 
+def test_line_dedup_excludes_pairs_by_hubs(spark, monkeypatch):
+    """Two large groups of near copies that share half their words: each line of one was compared with each of the other."""
+    import random
+
+    rng, made = random.Random(7), []
+    one = rng.choices(VOCABULARY, k=60)
+    two = [rng.choice(VOCABULARY) if k % 30 < 15 else w for k, w in enumerate(one)]
+    copies = lambda words: [" ".join(w + "x" if k == at else w for k, w in enumerate(words)) for at in range(40)]
+    rows = list(enumerate([x for pair in zip(copies(one), copies(two), strict=True) for x in pair]))
+    real = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, texts: made.append(pairs.count()) or real(pairs, texts))
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: int(k > 1) for k, _ in rows}  # a line of each group stays
+    assert len(made) == 2 and made[1] < 1000  # 1357 before
+
+
 def test_released_frames_leave_no_files(spark):
     import os
 
