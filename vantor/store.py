@@ -210,9 +210,15 @@ class Collection:
         return new
 
     def _read(self, segments: list[dict]) -> DataFrame:
-        if not segments:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{x['path']}" for x in segments])
+        """The rows of segments; of one that has after or upto only those above and up to that seq."""
+        whole = [x for x in segments if "after" not in x and "upto" not in x]
+        read = self.spark.read.schema(self.schema).parquet
+        out = read(*[f"{self.path}/{x['path']}" for x in whole]) if whole else self.spark.createDataFrame([], self.schema)
+        for x in segments:
+            if x not in whole:
+                own = read(f"{self.path}/{x['path']}").where(F.col("seq") > x.get("after", 0))
+                out = out.unionByName(own.where(F.col("seq") <= x["upto"]) if "upto" in x else own)
+        return out
 
     def log(self, manifest: dict | None = None) -> DataFrame:
         """All rows of the segments: id, seq, op, vector, document, metadata."""
@@ -375,13 +381,58 @@ class Collection:
         if not where:
             raise InvalidArgument("delete_where needs a filter")
         ids = cut(numbered(self.records().where(compile_map_filter(where)).select("id"), ["id"], "pos"))
-        n = ids.count()
-        found: dict[str, int] = {}
-        for at in range(0, n, batch_size):
-            batch = ids.where((F.col("pos") >= at) & (F.col("pos") < at + batch_size)).select("id", (F.col("pos") - at).alias("pos"))
-            for r in self.write(batch, "delete").groupBy("status").count().collect():  # a row a status
-                found[r["status"]] = found.get(r["status"], 0) + r["count"]
-        return {"matched": n, "deleted": found.get("deleted", 0), "not_found": found.get("not_found", 0), "batches": -(-n // batch_size)}
+        n, at = ids.count(), 0
+        found = {"deleted": 0, "not_found": 0}
+        while at < n:
+            at = self._delete_batches(ids, at, n, batch_size, found)
+        return {"matched": n, **found, "batches": -(-n // batch_size)}
+
+    def _delete_batches(self, ids: DataFrame, start: int, n: int, size: int, found: dict[str, int]) -> int:
+        """Commit the batches of ids (id, pos) from pos start on; where it ended, before n if another has written meanwhile.
+
+        The tombstones of all batches are written at once, numbered as batches of their own would number them. The commit of
+        a batch is then a manifest that shows the folder up to the batch's last one, so that no batch takes a job.
+        """
+        self._require(writing=True)
+        m, name = self._manifest(), uuid.uuid4().hex
+        live = latest(self.log(m)).where("op = 'write'").select("id")
+        nth = F.floor((F.col("pos") - start) / size).cast("long")
+        rows = ids.where(F.col("pos") >= start).withColumn("batch", nth).withColumn("seq", F.lit(m["next_op"] + 1 - start) + F.col("pos") + F.col("batch"))
+        good = rows.join(live, "id", "left_semi")
+        cells = {"vector": f"array<{self.config.element}>", "document": "string", "metadata": f"map<string,{CELL}>"}
+        tombs = good.select("id", "seq", F.lit("delete").alias("op"), *[F.lit(None).cast(t).alias(k) for k, t in cells.items()])
+        tombs.repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(f"{self.path}/log/{name}")
+        counted = cut(good.groupBy("batch").agg(F.count("*").alias("ok"), F.max("seq").alias("last")).orderBy("batch")).toLocalIterator()
+        at, shown, after, ahead = start, 0, None, next(counted, None)
+        while at < n:
+            places = min(size, n - at)
+            ok, changes = 0, {"next_op": m["next_op"] + 1 + places}
+            if ahead is not None and ahead["batch"] == (at - start) // size:
+                ok, last, ahead = ahead["ok"], ahead["last"], next(counted, None)
+                others = [x for x in m["segments"] if x["path"] != f"log/{name}"]
+                ends = ({} if after is None else {"after": after}) | ({} if ahead is None else {"upto": last})
+                changes |= {"segments": [*others, {"path": f"log/{name}", "kind": "log", "rows": shown + ok} | ends], "watermark": last, "durable": last}
+            try:
+                with self.engine._admitted():
+                    self._require(writing=True)
+                    m = self._commit(m, **changes)
+            except EngineError as e:
+                if at == start:
+                    self.files.delete(f"{self.path}/log/{name}")
+                if isinstance(e, Conflict) and at > start:
+                    return at
+                raise
+            at, shown = at + places, shown + ok
+            found["deleted"] += ok
+            found["not_found"] += places - ok
+            if self._auto_seal(m, ok):
+                sealed = self._manifest()
+                if (sealed["version"], sealed["next_op"]) != (m["version"] + 1, m["next_op"]):
+                    return at
+                m, shown, after = sealed, 0, m["watermark"]
+        if not found["deleted"]:
+            self.files.delete(f"{self.path}/log/{name}")
+        return at
 
     def delete_by_filter(self, where: dict) -> dict:
         """delete_where() with a commit for each record, in order of id."""
@@ -433,14 +484,20 @@ class Collection:
             for folder in ("log", "receipts"):
                 self.files.delete(f"{self.path}/{folder}/{name}")
             raise
-        limit = self.config.auto_seal_rows
-        if limit is not None and total["ok"] and sum(x["rows"] for x in new["segments"] if x["kind"] == "log") >= limit:
-            try:
-                self.seal()
-            except EngineError:  # the write itself has succeeded
-                pass
+        self._auto_seal(new, total["ok"])
         return done.orderBy("pos")
 
+    def _auto_seal(self, m: dict, ok: int) -> bool:
+        """Seal after a write of so many rows if the log is long enough for that; whether it was sealed."""
+        limit = self.config.auto_seal_rows
+        if limit is None or not ok or sum(x["rows"] for x in m["segments"] if x["kind"] == "log") < limit:
+            return False
+        try:
+            self.seal()
+        except EngineError:  # the write itself has succeeded
+            return False
+        return True
+
     def _receipts_of(self, m: dict, key: str) -> str | None:
         """Where the receipts of a batch with this key are, if there was one."""
         if key in m["keys"]:
@@ -495,7 +552,7 @@ class Collection:
         graph = isinstance(self.config.index, c.GraphIndex)
         if graph and self.count() <= MIN_GRAPH_ROWS:
             raise InvalidArgument(f"a graph index needs more than {MIN_GRAPH_ROWS} live rows", "freeze")
-        return {"segment": self._image(latest(self._read(active)), graph), "replaces": [x["path"] for x in active], "history_from": m["watermark"]}
+        return {"segment": self._image(latest(self._read(active)), graph), "replaces": [x["path"] for x in active], "read": active, "history_from": m["watermark"]}
 
     def install(self, prepared: dict) -> dict:
         """Put a prepared segment in place of those it was made of; Conflict if one of these is gone."""
@@ -506,7 +563,12 @@ class Collection:
             raise Conflict("segments were changed since", "install")
         at = m["segments"].index(old[0])
         kept = [x for x in m["segments"] if x not in old]
-        segments = [*kept[:at], prepared["segment"], *kept[at:]]
+        # a folder that shows more since it was read stays with what is new
+        read = {x["path"]: x for x in prepared["read"]}
+        if any(x.get("after") != read[x["path"]].get("after") for x in old):
+            raise Conflict("segments were changed since", "install")
+        grown = [x | {"rows": x["rows"] - read[x["path"]]["rows"], "after": read[x["path"]]["upto"]} for x in old if x != read[x["path"]]]
+        segments = [*kept[:at], prepared["segment"], *grown, *kept[at:]]
         new = self._commit(m, segments=segments, retired=m["retired"] + _paths(old), history_from=max(m["history_from"], prepared["history_from"]))
         return {"version": new["version"], "rows": prepared["segment"]["rows"], "segments": len(new["segments"])}
 
