@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantor.functions.distance import distance, distance_matrix, gemm_matrix, hadamard
+from vantor.functions.distance import distance, distance_matrix, gemm_matrix, hadamard, nearest_pairs
 from vantor.operators import cluster, graph, quantize, search
 
 
@@ -53,6 +53,41 @@ def test_zero_nan_ties(spark):
             search.search(rows, q, bad)
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_join_is_the_column_form(spark, sample, metric, monkeypatch):
+    """Several groups on both sides, copies, nulls, other lengths, NaN and infinity: as the cross join of Columns has it, but for vectors with nulls or of another length."""
+    v = np.round(sample[:90, :6], 1).astype(float)
+    v[4], v[5, 2], v[6, 1], v[70:80] = 0, np.nan, np.inf, v[:10]
+    odd = [(200, None), (201, [1.0] * 5), (202, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (203, [])]
+    rows = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)] + odd, "id long, vector array<float>").coalesce(1)
+    q = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v[::3])] + odd, "query_id int, query array<float>")
+    want = search.ranked(rows.crossJoin(q).where("size(query) = size(vector) AND NOT exists(query, x -> x IS NULL) AND NOT exists(vector, x -> x IS NULL)").select("query_id", "id", distance("query", "vector", metric).alias("distance")).where("distance IS NOT NULL"), 7)
+    monkeypatch.setattr(search, "GROUP_ROWS", 17)
+    found = search.search(rows, q, 7, metric, strategy="columns")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.columns == want.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_codes_are_joined_in_groups(spark, sample, monkeypatch):
+    base, q = frame(spark, sample[:120]), asked(spark, sample[:120:9])
+    arrays = quantize.range_arrays(quantize.fit_ranges(base))
+    both = lambda t, v: t.crossJoin(arrays).withColumn(v, quantize.decoded(quantize.codes(F.col(v), F.col("low"), F.col("high")), F.col("low"), F.col("high"))).drop("low", "high")
+    want = search.ranked(both(base, "vector").crossJoin(both(q, "query")).select("query_id", "id", distance("query", "vector", "l2").alias("distance")), 5)
+    monkeypatch.setattr(search, "GROUP_ROWS", 50)
+    found = quantize.sq_search(base, q, 5)
+    assert by_query(found) == by_query(want)
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_not_a_number_beside_others():
+    """A row that is not a number, or infinite, hides no other row of its batch."""
+    v = np.array([[np.nan, 0], [1, 0], [np.inf, 0], [0, 2], [3, 0]], dtype=np.float32)
+    for metric, want in (("l2", [1, 3]), ("ip", [2, 4])):
+        rows, places, d = nearest_pairs(np.array([[1.0, 0.0]], dtype=np.float32), v, 2, metric)
+        assert places.tolist() == want and not np.isnan(d).any()
+
+
 def test_hadamard():
     x = np.random.default_rng(0).standard_normal((3, 128))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1)) and np.allclose(hadamard(hadamard(x)), x)

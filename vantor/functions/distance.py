@@ -71,9 +71,10 @@ def distance_pairs(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return out.astype(np.float32)
     if metric == "cosine":
-        ordered = lambda m: np.add.accumulate(m * m, axis=1)[:, -1]  # noqa: E731  left to right, unlike sum()
-        norms = ordered(a) * ordered(b)
-        out = np.divide(out, np.sqrt(norms), out=np.zeros_like(out), where=norms != 0)
+        ordered = lambda m: np.add.accumulate(m * m, axis=1)[:, -1] if m.shape[1] else np.zeros(len(m))  # noqa: E731  left to right, unlike sum()
+        na, nb = ordered(a), ordered(b)
+        norms = na * nb
+        out = np.divide(out, np.sqrt(norms), out=np.zeros_like(out), where=(na != 0) & (nb != 0) & (norms != 0))
     return (-out + 0.0).astype(np.float32)
 
 
@@ -81,22 +82,40 @@ def nearest_pairs(queries: np.ndarray, vectors: np.ndarray, limit: int, metric:
     """(query, vector, distance) of the first `limit` vectors of each query by distance, then by place, exactly.
 
     Products of whole matrices, in double, find what may be among these: all that is not beyond the limit-th by more
-    than rounding, single precision included. Those alone are measured in the order that defines a distance.
+    than rounding, single precision included. Those alone are measured in the order that defines a distance, and so is
+    all that has no finite product.
     """
     q, v = queries.astype(np.float64), vectors.astype(np.float64)
+    with np.errstate(invalid="ignore", over="ignore"):
+        return _nearest_pairs(q, v, limit, metric)
+
+
+def _nearest_pairs(q: np.ndarray, v: np.ndarray, limit: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
+    longest = vv.max(initial=0.0, where=np.isfinite(vv))
     rough = q @ v.T
     if metric == "l2":
         rough = qq[:, None] + vv[None, :] - 2 * rough
-        scale = qq + vv.max(initial=0.0)
+        scale = qq + longest
     elif metric == "ip":
-        rough, scale = -rough, np.sqrt(qq * vv.max(initial=0.0))
+        rough, scale = -rough, np.sqrt(qq * longest)
     else:
         norms = np.sqrt(qq[:, None] * vv[None, :])
         rough, scale = -np.divide(rough, norms, out=np.zeros_like(rough), where=norms != 0), np.ones(len(q))
     k = min(limit, len(v))
+    if not np.isfinite(rough.sum()):
+        odd = ~np.isfinite(rough)
+        rough[odd], scale = -np.inf, np.where(np.isfinite(scale), scale, 0.0)
+        # beside these, the limit-th of the others
+        spare = np.sort(np.where(odd, np.inf, rough), axis=1)[:, k - 1]
+        rows, places = np.nonzero(rough <= np.where(np.isfinite(spare), spare + 1e-6 * np.abs(spare) + 1e-12 * scale, np.inf)[:, None])
+        return _measured(q, v, rows, places, k, metric)
     most = np.partition(rough, k - 1, axis=1)[:, k - 1]
     rows, places = np.nonzero(rough <= (most + 1e-6 * np.abs(most) + 1e-12 * scale)[:, None])
+    return _measured(q, v, rows, places, k, metric)
+
+
+def _measured(q: np.ndarray, v: np.ndarray, rows: np.ndarray, places: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     exact = distance_pairs(q[rows], v[places], metric)
     order = np.lexsort((places, exact, rows))
     rows, places, exact = rows[order], places[order], exact[order]

@@ -6,17 +6,22 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import FloatType, StructField, StructType
 
 from vantor.errors import InvalidArgument, ResourceExhausted
-from vantor.functions.distance import METRICS, distance, nearest_pairs
+from vantor.functions.distance import METRICS, nearest_pairs
 from vantor.sources.shared import cut
 
 #: Queries that one pass over the collection carries to the executors, as an Arrow closure of bounded size.
 MAX_QUERIES = 8_192
 MAX_QUERY_BYTES = 64 << 20
+#: Rows and bytes, as doubles, of a group that joined() makes.
+GROUP_ROWS = 8_192
+GROUP_BYTES = 16 << 20
 #: Cells of a distance tile in a worker.
 TILE = 2_000_000
 
@@ -42,15 +47,15 @@ def search(collection: DataFrame, queries: DataFrame, limit: int, metric: str =
     """(query_id, rank, id, distance): the exact nearest rows of each query (query_id, query).
 
     strategy `arrow` scores batches in numpy against the queries, which are gathered in slices of bounded size, and
-    keeps each batch's best rows; `columns` states the same as a join of SQL expressions, for queries of any number.
+    keeps each batch's best rows; `columns` states the same as a join on columns, for queries of any number, none of which
+    passes the driver.
     """
     _check(limit, metric)
     if where is not None:
         collection = collection.where(where)
     rows = collection.select(id_col, vector_col)
     if strategy == "columns":
-        scored = rows.join(queries.select("query_id", "query")).select("query_id", id_col, distance("query", vector_col, metric).alias("distance"))
-        return ranked(scored, limit, id_col)
+        return joined(rows, queries, limit, metric, id_col, vector_col, groups(rows, vector_col), groups(queries, "query"))
     if strategy != "arrow":
         raise InvalidArgument(f"unknown strategy {strategy!r}")
     parts = [_scored(rows, ids, q, limit, metric, id_col, vector_col, queries) for ids, q in slices(queries)]
@@ -62,6 +67,45 @@ def search(collection: DataFrame, queries: DataFrame, limit: int, metric: str =
     return ranked(out, limit, id_col)
 
 
+def groups(rows: DataFrame, vector_col: str) -> int:
+    """In how many groups joined() deals these rows, so that a group is of bounded size."""
+    n, dim = rows.agg(F.count("*"), F.max(F.size(vector_col))).first()
+    return max(1, -(-n // min(GROUP_ROWS, max(1, GROUP_BYTES // (8 * max(1, dim or 1))))))
+
+
+def joined(rows: DataFrame, queries: DataFrame, limit: int, metric: str, id_col: str, vector_col: str, row_groups: int, query_groups: int) -> DataFrame:
+    """search() as a join: both sides are dealt into groups, each group of rows meets each group of queries in a task.
+
+    As in the Column form, vectors with nulls, or of another length than the query, have no distance.
+    """
+
+    def dealt(side: DataFrame, key: str, vector: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+        group = F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int").alias(own[0])
+        every = F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0])
+        return side.where(whole).select(F.col(key).alias("__id"), F.col(vector).alias("__v"), F.size(vector).alias("__d"), group, every)
+
+    a, b = ("__g", row_groups), ("__h", query_groups)
+    left, right = dealt(rows, id_col, vector_col, a, b), dealt(queries, "query_id", "query", b, a)
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField(id_col, rows.schema[id_col].dataType), StructField("distance", FloatType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(near: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = [pa.table([pa.array([], k) for k in kinds], names=schema.names)]
+        if near.num_rows and asked.num_rows:
+            near = near.take(pc.sort_indices(near.column("__id"), null_placement="at_start"))  # ties go to the smaller id
+            v, q = (x.column("__v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, x.column("__d")[0].as_py()) for x in (near, asked))
+            step = max(1, TILE // len(v))
+            for at in range(0, len(q), step):
+                of, place, d = nearest_pairs(q[at : at + step], v, limit, metric)
+                columns = [asked.column("__id").take(pa.array(at + of)).cast(kinds[0]), near.column("__id").take(pa.array(place)).cast(kinds[1]), pa.array(d, pa.float32())]
+                parts.append(pa.table(columns, names=schema.names))
+        return pa.concat_tables(parts)
+
+    keys = ["__g", "__h", "__d"]
+    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema), limit, id_col)
+
+
 def slices(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """Queries in slices of at most MAX_QUERIES and MAX_QUERY_BYTES, streamed a partition at a time."""
     ids, vectors, held = [], [], 0
