@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vantor.functions.distance import distance, hadamard, l2_normalize
-from vantor.operators.search import TILE, batch_vectors, ranked, slices
+from vantor.operators.search import TILE, batch_vectors, groups, joined, ranked, slices
+from vantor.sources.shared import cut
 
 SEED = 42
 #: Candidates for each row that is wanted; one-bit codes of 64 dimensions need so many for a recall of 0.85.
@@ -62,14 +63,11 @@ def sq_encode(vectors: DataFrame, ranges: DataFrame, levels: int = 255, vector_c
 
 def sq_search(vectors: DataFrame, queries: DataFrame, limit: int, metric: str = "l2", levels: int = 255, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Nearest rows by the distance of the decoded codes of both sides."""
-    ranges = fit_ranges(vectors, vector_col)
-    arrays = range_arrays(ranges)
-    base = vectors.join(F.broadcast(arrays))
-    base = base.select(id_col, decoded(codes(F.col(vector_col), F.col("low"), F.col("high"), levels), F.col("low"), F.col("high"), levels).alias("v"))
-    asked = queries.join(F.broadcast(arrays))
-    asked = asked.select("query_id", decoded(codes(F.col("query"), F.col("low"), F.col("high"), levels), F.col("low"), F.col("high"), levels).alias("q"))
-    scored = base.join(asked).select("query_id", id_col, distance("q", "v", metric).alias("distance"))
-    return ranked(scored, limit, id_col)
+    arrays = F.broadcast(cut(range_arrays(fit_ranges(vectors, vector_col))))  # one row
+    both = lambda v: decoded(codes(F.col(v), F.col("low"), F.col("high"), levels), F.col("low"), F.col("high"), levels)
+    base = vectors.join(arrays).select(id_col, both(vector_col).alias("v"))
+    asked = queries.join(arrays).select("query_id", both("query").alias("query"))
+    return joined(base, asked, limit, metric, id_col, "v", groups(vectors, vector_col), groups(queries, "query"))
 
 
 # rotations
