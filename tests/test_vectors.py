@@ -146,6 +146,39 @@ def test_graph_recall_and_filters(spark, sample):
     assert found.where("id % 4 <> 0").count() == 0 and search.recall(found, search.search(some, q, 10), 10).first().recall >= 0.85
 
 
+def test_walks_and_prunes_of_many(sample):
+    """Many at once as one by one: pruned alike, walked to the same rows; clusters, copies and unreachable rows among them."""
+    v = np.vstack([sample[:150], sample[:10], sample[:60] * 0.01 + 3])
+    pool = np.stack([np.random.default_rng(k).integers(-1, 150, 30) for k in range(20)])
+    got = graph._prune_rows(np.arange(20), pool, v, 6, 1.2)
+    for k in range(20):
+        c = pool[k][pool[k] >= 0]
+        d = gemm_matrix(v[k][None, :], v[c], "l2")[0]
+        assert [x for x in got[k] if x >= 0] == graph.robust_prune(k, c, d, v, 6, 1.2)
+    neighbours, entry = graph.build_exact(v, 8, 32)
+    assert max(map(len, neighbours)) <= 8 and all(i not in x and len(set(x)) == len(x) for i, x in enumerate(neighbours))
+    for metric in ("l2", "ip", "cosine"):
+        rows, d = graph.walks(v[::7], v, neighbours, entry, 32, metric)
+        truth = gemm_matrix(v[::7], v, metric)
+        assert np.allclose(np.take_along_axis(truth, rows, 1), d, atol=1e-3) and (np.diff(d, axis=1) >= 0).all()
+        want = np.sort(truth, axis=1)[:, :5]
+        assert metric != "l2" or (d[:, :5] <= want + 1e-3).mean() >= 0.9
+    alone = [[1], [0], [0]]
+    assert graph.walks(v[:1], v[:3], alone, 0, 3)[0].tolist() == [[0, 1, -1]]
+
+
+def test_shards_are_bounded(spark, sample):
+    """More rows make more shards, not longer ones, and a dense spot is dealt too; the search of all of them finds what is near."""
+    v = np.vstack([sample, np.tile(sample[:1], (300, 1)) + 0.001 * sample[:300]])
+    base, q = frame(spark, v), asked(spark, v[::25])
+    sharded = graph.bounded(base, 60).cache()
+    sizes = [r["count"] for r in sharded.groupBy("shard").count().collect()]
+    assert sum(sizes) == 1400 and len(sizes) >= 1400 // 120 and max(sizes) <= 180
+    assert sharded.groupBy("id").agg(F.countDistinct("shard").alias("n")).where("n <> 2").count() == 0
+    hits = graph.search_shards(sharded, graph.build_shards(sharded, 16, 32), q, 10, 64)
+    assert search.recall(hits, search.search(base, q, 10), 10).first().recall >= 0.9
+
+
 def test_prune_keeps_diverse():
     v = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1], [5, 5]], dtype=np.float32)
     d = ((v[1:] - v[0]) ** 2).sum(axis=1)

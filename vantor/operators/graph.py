@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vantor.errors import InvalidArgument
-from vantor.functions.distance import gemm_matrix
+from vantor.functions.distance import distance_pairs, gemm_matrix
 from vantor.operators.cluster import kmeans, shard_assignment, shards_for
 from vantor.operators.search import batch_vectors, ranked, slices
 from vantor.sources.shared import cut
@@ -24,6 +24,12 @@ from vantor.sources.shared import cut
 DEGREE = 32
 EFFORT = 100
 ALPHA = 1.2
+#: Rows that a shard of bounded() is to have, about, and up to which build() takes candidates from all pairs.
+SHARD_ROWS = 8_192
+EXACT_ROWS = 4 * SHARD_ROWS
+#: Cells of a worker's tables, and rows that a walk expands at a time.
+CELLS = 8_000_000
+STRIDE = 4
 
 
 def robust_prune(point: int, candidates: np.ndarray, d: np.ndarray, vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
@@ -121,6 +127,114 @@ def build(vectors: np.ndarray, degree: int = DEGREE, effort: int = EFFORT, alpha
     return neighbours, entry
 
 
+def _prune_rows(points: np.ndarray, pool: np.ndarray, vectors: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """robust_prune() of many points at once: pool has each point's candidates, -1 for none; so has the result."""
+    out = np.full((len(points), degree), -1, dtype=np.int64)
+    step = max(1, CELLS // (pool.shape[1] * max(pool.shape[1], vectors.shape[1])))
+    for at in range(0, len(points), step):
+        own, c = points[at : at + step], np.sort(pool[at : at + step], axis=1)
+        bad = (c < 0) | (c == own[:, None])
+        bad[:, 1:] |= c[:, 1:] == c[:, :-1]
+        x = vectors[np.where(bad, 0, c)]
+        d = np.where(bad, np.inf, np.square(x - vectors[own][:, None, :]).sum(axis=2))
+        order = np.argsort(d, axis=1, kind="stable")
+        c, d, x = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1), np.take_along_axis(x, order[:, :, None], 1)
+        norms = (x * x).sum(axis=2)
+        between = np.maximum(norms[:, :, None] + norms[:, None, :] - 2 * (x @ x.transpose(0, 2, 1)), 0)
+        taken, n, cut = np.zeros(d.shape, dtype=bool), np.zeros(len(own), dtype=np.int64), 1.0
+        while True:
+            shadow = taken | np.isinf(d)
+            for k in range(d.shape[1]):
+                shadow |= taken[:, k, None] & (cut * between[:, k] <= d)
+            for k in range(d.shape[1]):
+                pick = np.nonzero(~shadow[:, k] & (n < degree))[0]
+                out[at + pick, n[pick]] = c[pick, k]
+                n[pick] += 1
+                taken[pick, k] = True
+                shadow[pick] |= cut * between[pick, k] <= d[pick]
+            if cut >= alpha or (n >= degree).all():
+                break
+            cut = min(alpha, cut * 1.2)
+    return out
+
+
+def build_exact(vectors: np.ndarray, degree: int = DEGREE, effort: int = EFFORT, alpha: float = ALPHA, seed: int = 1234) -> tuple[list[list[int]], int]:
+    """build() for shards of bounded size: the `effort` nearest of all rows and as many random ones as degree are pruned, and linked both ways."""
+    n = len(vectors)
+    entry = int(np.argmin(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1)))
+    rng, norms, near = np.random.default_rng(seed), (vectors * vectors).sum(axis=1), min(max(effort, 2 * degree), n - 1)
+    pool = np.empty((n, near + 1 + degree), dtype=np.int64)
+    step = max(1, CELLS // n)
+    for at in range(0, n, step):
+        d = norms[None, :] - 2 * (vectors[at : at + step] @ vectors.T)
+        pool[at : at + step, : near + 1] = np.argpartition(d, near, axis=1)[:, : near + 1]
+    pool[:, near + 1 :] = rng.integers(n, size=(n, degree))
+    first = _prune_rows(np.arange(n), pool, vectors, degree, alpha)
+    src, slot = np.nonzero(first >= 0)
+    dst = first[src, slot]
+    # what points at a row joins its own edges, nearest first where there is more than three times the degree
+    d = np.square(vectors[src] - vectors[dst]).sum(axis=1)
+    order = np.lexsort((src, d, dst))
+    src, dst = src[order], dst[order]
+    place = np.arange(len(dst)) - np.searchsorted(dst, dst)
+    kept = place < 3 * degree
+    pool = np.full((n, 4 * degree), -1, dtype=np.int64)
+    pool[:, :degree] = first
+    pool[dst[kept], degree + place[kept]] = src[kept]
+    last = _prune_rows(np.arange(n), pool, vectors, degree, alpha)
+    return [x[x >= 0].tolist() for x in last], entry
+
+
+def walks(queries: np.ndarray, vectors: np.ndarray, neighbours: list[list[int]], entry: int, effort: int, metric: str = "l2") -> tuple[np.ndarray, np.ndarray]:
+    """beam() of many queries in step: (rows, distances) of the `effort` nearest found, nearest first, -1 where there are no more."""
+    n, width = len(vectors), max(1, max((len(x) for x in neighbours), default=1))
+    effort = min(effort, n)
+    edges = np.full((n, width), n, dtype=np.int64)  # n stands for no row
+    for i, x in enumerate(neighbours):
+        edges[i, : len(x)] = x
+    v = np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+    norms, out, far = (v * v).sum(axis=1), [], []
+
+    def measured(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        dot = np.matmul(v[rows], q[:, :, None])[:, :, 0]
+        if metric == "l2":
+            d = np.maximum((q * q).sum(axis=1)[:, None] + norms[rows] - 2 * dot, 0)
+        elif metric == "ip":
+            d = -dot
+        else:
+            scale = np.sqrt((q * q).sum(axis=1)[:, None] * norms[rows])
+            d = -np.divide(dot, scale, out=np.zeros_like(dot), where=scale != 0)
+        return np.where(rows == n, np.inf, d)
+
+    step = max(1, min(512, CELLS // (n + 1)))
+    for at in range(0, len(queries), step):
+        q = queries[at : at + step].astype(np.float32)
+        seen = np.zeros((len(q), n + 1), dtype=bool)
+        best = np.full((len(q), effort), n, dtype=np.int64)
+        best[:, 0], seen[:, entry] = entry, True
+        d = measured(q, best)
+        done = best == n
+        active = np.arange(len(q))
+        while len(active):
+            turn = np.argsort(done[active], axis=1, kind="stable")[:, :STRIDE]  # the nearest that aren't expanded
+            new = np.take_along_axis(best[active], turn, 1)
+            new[np.take_along_axis(done[active], turn, 1)] = n
+            done[active[:, None], turn] = True
+            new = np.vstack([edges, np.full((1, width), n)])[new].reshape(len(active), -1)
+            new[seen[active[:, None], new]] = n
+            new.sort(axis=1)
+            new[:, 1:][new[:, 1:] == new[:, :-1]] = n
+            seen[active[:, None], new] = True
+            rows, dist = np.hstack([best[active], new]), np.hstack([d[active], measured(q[active], new)])
+            flags = np.hstack([done[active], new == n])
+            order = np.argsort(dist, axis=1, kind="stable")[:, :effort]
+            best[active], d[active], done[active] = (np.take_along_axis(x, order, 1) for x in (rows, dist, flags))
+            active = active[~done[active].all(axis=1)]
+        out.append(np.where(best == n, -1, best))
+        far.append(d)
+    return (np.vstack(out), np.vstack(far)) if out else (np.zeros((0, effort), dtype=np.int64), np.zeros((0, effort)))
+
+
 def build_shards(sharded: DataFrame, degree: int = DEGREE, effort: int = EFFORT, alpha: float = ALPHA, seed: int = 1234, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(shard, src, dst, slot, entry): a graph for each shard of (id, vector, shard); shards must fit in a worker."""
     kind = sharded.schema[id_col].dataType.simpleString()
@@ -128,7 +242,9 @@ def build_shards(sharded: DataFrame, degree: int = DEGREE, effort: int = EFFORT,
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(id_col)
         ids, shard = table.column(id_col), table.column("shard")[0]
-        neighbours, entry = build(batch_vectors(table.column(vector_col).combine_chunks()).astype(np.float32), degree, effort, alpha, seed)
+        vectors = batch_vectors(table.column(vector_col).combine_chunks()).astype(np.float32)
+        how = build_exact if 1 < len(vectors) <= EXACT_ROWS else build
+        neighbours, entry = how(vectors, degree, effort, alpha, seed)
         return _edge_table(ids, neighbours, entry, shard)
 
     shard_kind = sharded.schema["shard"].dataType.simpleString()
@@ -186,6 +302,18 @@ def dispatch(vectors: DataFrame, dim: int, budget_bytes: int, degree: int = DEGR
     return sharded, build_shards(sharded, degree, effort, alpha, seed, id_col, vector_col)
 
 
+def bounded(vectors: DataFrame, rows: int = SHARD_ROWS, overlap: int = 2, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(id, vector, shard): each row in its `overlap` nearest of as many shards as keep these at about `rows`.
+
+    A shard of more than twice that, around which rows are dense, is dealt by a hash of the id, so that none is longer.
+    """
+    k = max(2, -(-overlap * vectors.count() // rows))
+    sharded = cut(shard_assignment(vectors, kmeans(vectors, k, 5, id_col=id_col, vector_col=vector_col), overlap, id_col, vector_col))
+    parts = sharded.groupBy("shard").agg(F.ceil(F.count("*") / (2 * rows)).alias("__parts"))  # a row a shard
+    dealt = F.col("shard") + k * F.pmod(F.xxhash64(id_col), F.col("__parts"))
+    return sharded.join(F.broadcast(parts), "shard").withColumn("shard", dealt).drop("__parts")
+
+
 def save(edges: DataFrame, path: str, degree: int = DEGREE) -> None:
     """Write the edges of graphs by shard as a snapshot: edges/ and a one-row meta/ that load() holds them against."""
     edges.write.parquet(f"{path}/edges")
@@ -275,17 +403,15 @@ def _searched(rows: DataFrame, query_ids: pa.Array, q: np.ndarray, limit: int, e
         table = table.sort_by(id_col)
         ok = np.array(table.column("ok").to_pylist())
         vectors, neighbours, entry = _graph_of(table, id_col, vector_col)
-        out = []
-        for k in range(len(q)):
-            width = max(effort, limit)
-            while True:
-                found = [(d, i) for d, i in beam(q[k], vectors, neighbours, [entry], width, metric)[0]]
-                kept = [(d, i) for d, i in found if ok[i]][:limit]
-                if len(kept) >= limit or len(found) < width:
-                    break
-                width *= 2
-            out += [(k, i, d) for d, i in kept]
-        qk, ik, d = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": query_ids.take(pa.array(qk, pa.int64())), id_col: table.column(id_col).take(pa.array(ik, pa.int64())), "distance": pa.array(d, pa.float32())})
+        out, left, width = [], np.arange(len(q)), max(effort, limit)
+        while len(left) and len(vectors):
+            near, _ = walks(q[left], vectors, neighbours, entry, width, metric)
+            kept = (near >= 0) & ok[near]
+            short = (kept.sum(axis=1) < limit) & (near.shape[1] == width) & (near[:, -1] >= 0)
+            of, place = np.nonzero(kept & (np.cumsum(kept, axis=1) <= limit) & ~short[:, None])
+            out.append((left[of], near[of, place]))
+            left, width = left[short], 2 * width
+        k, i = (np.concatenate([x[j] for x in out]) if out else np.zeros(0, dtype=np.int64) for j in (0, 1))
+        return pa.table({"query_id": query_ids.take(pa.array(k)), id_col: table.column(id_col).take(pa.array(i)), "distance": pa.array(distance_pairs(q[k], vectors[i], metric), pa.float32())})
 
     return rows.groupBy("shard").applyInArrow(run, schema)
