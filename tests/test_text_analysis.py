@@ -4,8 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vantor.operators import analysis, text
+from vantor.sources.shared import cut
 
 
 def test_sentences_like_python(spark):
@@ -98,3 +100,25 @@ def test_interpolation_and_pareto(spark):
     runs = spark.createDataFrame([("a", 10, 0.9, 100.0), ("b", 10, 0.902, 98.0), ("c", 10, 0.8, 50.0)], "combo string, ef int, recall double, qps double")
     got = {(r.a, r.b): (r.alike, r.dominates) for r in analysis.pareto_pairs(runs).collect()}
     assert got == {("a", "b"): (True, None), ("a", "c"): (False, "a"), ("b", "c"): (False, "b")}
+
+
+def test_sentence_ends_in_another_order(spark):
+    """Fast splitting is the same as by the fixed value, with abbreviations, other scripts, and white space of all kinds at the ends."""
+    odd = ["", " ", "\u00a0a.\u2003b. ", "e.g. this. U.S. that! Mr. X? no", "一。二！ 三？四", "\n a.b.c. \u0085", "x\n", "\u2028y?\u2029", "Dr.\tNo. 3.14 is pi.Ok", "...", "a. . .b", "no end", "é.g. ü.B Xy. z\x1f", None]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").unionByName(spark.createDataFrame([(x,) for x in odd], "text string"))
+    parts = F.split("text", "(?U)" + text.SENTENCE_END)
+    plain = F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))), lambda s: s != "")
+    rows = docs.select(text.sentences(F.col("text")).alias("a"), plain.alias("b")).collect()
+    assert len(rows) > 200 and all(r.a == r.b for r in rows)
+
+
+def test_retrieval_stores_no_chunks(spark, monkeypatch):
+    """Contexts are those of a stored collection; what is written is the questions and the hits alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "No id here. None at all."), (900001, None)], "doc_id long, text string"))
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    embed, written = text.embedder("hash"), []
+    want = text.retrieve(text.cut(text.ingest(docs, text.sentence_chunks, embed)), asked, embed, 3).collect()
+    monkeypatch.setattr(text, "cut", lambda df: written.append(df.columns) or cut(df))
+    got = text.retrieve_from(docs, asked, text.sentence_chunks, embed, 3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 0
+    assert written == [["query_id", "query"], ["query_id", "rank", "id", "distance"]]

@@ -43,22 +43,25 @@ def ranked(scored: DataFrame, limit: int, id_col: str = "id", query_col: str = "
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(query_col, "rank", id_col, "distance")
 
 
-def search(collection: DataFrame, queries: DataFrame, limit: int, metric: str = "l2", where: Column | None = None, id_col: str = "id", vector_col: str = "vector", strategy: str = "arrow") -> DataFrame:
+def search(collection: DataFrame, queries: DataFrame, limit: int, metric: str = "l2", where: Column | None = None, id_col: str = "id", vector_col: str = "vector", strategy: str = "arrow", embed: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the exact nearest rows of each query (query_id, query).
 
     strategy `arrow` scores batches in numpy against the queries, which are gathered in slices of bounded size, and
     keeps each batch's best rows; `columns` states the same as a join on columns, for queries of any number, none of which
-    passes the driver.
+    passes the driver. With embed (arrow only) vector_col has texts, whose vectors are made where they are scored, once for
+    each slice.
     """
     _check(limit, metric)
     if where is not None:
         collection = collection.where(where)
     rows = collection.select(id_col, vector_col)
+    if embed is not None and strategy != "arrow":
+        raise InvalidArgument("embed needs strategy arrow")
     if strategy == "columns":
         return joined(rows, queries, limit, metric, id_col, vector_col, groups(rows, vector_col), groups(queries, "query"))
     if strategy != "arrow":
         raise InvalidArgument(f"unknown strategy {strategy!r}")
-    parts = [_scored(rows, ids, q, limit, metric, id_col, vector_col, queries) for ids, q in slices(queries)]
+    parts = [_scored(rows, ids, q, limit, metric, id_col, vector_col, queries, embed) for ids, q in slices(queries)]
     if not parts:
         return ranked(rows.join(queries.limit(0).select("query_id")).select("query_id", id_col, F.lit(0.0).cast("float").alias("distance")), limit, id_col)
     out = parts[0]
@@ -125,7 +128,7 @@ def batch_vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _scored(rows: DataFrame, ids: list, q: np.ndarray, limit: int, metric: str, id_col: str, vector_col: str, queries: DataFrame) -> DataFrame:
+def _scored(rows: DataFrame, ids: list, q: np.ndarray, limit: int, metric: str, id_col: str, vector_col: str, queries: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     kind, query_kind = (rows.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString())
     query_ids = pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType))
 
@@ -133,7 +136,8 @@ def _scored(rows: DataFrame, ids: list, q: np.ndarray, limit: int, metric: str,
         for batch in batches:
             keys = batch.column(0)
             order = np.argsort(np.array(keys.to_pylist()), kind="stable")  # ties go to the smaller id
-            vectors = batch_vectors(batch.column(1))[order]
+            vectors = batch_vectors(batch.column(1)) if embed is None else np.asarray(embed([t or "" for t in batch.column(1).to_pylist()]), dtype=np.float32)
+            vectors = vectors[order]
             step = max(1, TILE // max(1, len(vectors)))
             for at in range(0, len(q) if len(vectors) else 0, step):
                 of, place, d = nearest_pairs(q[at : at + step], vectors, limit, metric)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,12 @@ from vantor.sources.shared import cut
 
 #: Where a sentence ends, unless what comes before looks like an abbreviation.
 SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!|。|？|！)\s*"
+#: SENTENCE_END with what most places fail at first, since all three look behind the same place.
+ENDS_FIRST = r"(?<=[.?!。？！])(?<!\w\.\w.)(?<![A-Z][a-z]\.)\s*"
 #: Question and answer pairs that a query carries along, and what stands between them and the question.
 HISTORY = 3
 NEW_QUESTION = "\n\nNew question："
+WORDS = re.compile(r"\w+")
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -27,8 +32,9 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(text, "(?U)" + SENTENCE_END)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))), lambda s: s != "")
+    parts = F.split(text, "(?U)" + ENDS_FIRST)
+    padded = lambda s: F.concat(F.left(s, F.lit(1)), F.right(s, F.lit(1))).rlike(r"(?U)\s")  # noqa: E731  few are
+    return F.filter(F.transform(parts, lambda s: F.when(padded(s), F.trim(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))).otherwise(s)), lambda s: s != "")
 
 
 def windows(items: Column, size: int, overlap: int) -> Column:
@@ -125,24 +131,31 @@ def chunker(name: str) -> Callable[..., DataFrame]:
     return CHUNKERS[name]
 
 
-def hash_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic embedder: words hashed to signed coordinates, unit length; a text without words is zero."""
-    from zlib import crc32
+class _Places(dict):
+    """A word's coordinate, and dim more for a negative sign; some are remembered."""
 
-    memo: dict[str, int] = {}  # a word's coordinate, and dim more for a negative sign
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
 
-    def place(word: str) -> int:
-        if (found := memo.get(word)) is None:
-            if len(memo) >= 500_000:
-                memo.clear()
-            h = crc32(word.encode())
-            found = memo[word] = h % dim + (0 if h >> 16 & 1 else dim)
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = crc32(word.encode())
+        found = self[word] = h % self.dim + (0 if h >> 16 & 1 else self.dim)
         return found
 
+
+def hash_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """A deterministic embedder: words hashed to signed coordinates, unit length; a text without words is zero."""
+    found: list[_Places] = []
+
     def embed(texts: list[str]) -> np.ndarray:
-        words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+        if not found:
+            found.append(_Places(dim))
+        words = [WORDS.findall((t or "").lower()) for t in texts]
         rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-        at = np.fromiter((place(x) for w in words for x in w), dtype=np.int64, count=len(rows))
+        at = np.fromiter(map(found[0].__getitem__, chain.from_iterable(words)), dtype=np.int64, count=len(rows))
         counts = np.bincount(rows * 2 * dim + at, minlength=len(texts) * 2 * dim).reshape(len(texts), 2 * dim)
         out = (counts[:, :dim] - counts[:, dim:]).astype(np.float32)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
@@ -208,6 +221,19 @@ def retrieve(collection: DataFrame, questions: DataFrame, embed: Callable[[list[
     return contexts(hits, collection, asked)
 
 
+def retrieve_from(docs: DataFrame, questions: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Callable[[list[str]], np.ndarray], limit: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """retrieve() over the chunks of docs that aren't stored: neither chunks nor vectors are written.
+
+    Vectors live in the task that scores them; contexts come from the texts that have hits, which are chunked once more.
+    """
+    asked = cut(embedded(questions.select("query_id", "text"), embed, to="query").select("query_id", "query"))
+    key = F.concat_ws("#", F.col(id_col).cast("string"), "chunk").alias("id")
+    hits = cut(search(chunk(docs).select(key, "text"), asked, limit, "cosine", vector_col="text", embed=embed))
+    named = hits.select(F.regexp_replace("id", "#?[0-9]+$", "").alias("__doc")).distinct()  # of `limit` rows a query
+    own = docs.join(named, F.coalesce(F.col(id_col).cast("string"), F.lit("")) == F.col("__doc"), "left_semi")
+    return contexts(hits, chunk(own).select(key, F.col("text").alias("document")), asked)
+
+
 def contexts(hits: DataFrame, collection: DataFrame, asked: DataFrame, id_col: str = "id", document_col: str = "document") -> DataFrame:
     found = hits.select("query_id", "rank", id_col).join(collection.select(id_col, F.col(document_col).alias("__d")), id_col)
     lists = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "__d"))), lambda x: x["__d"]), "\n\n").alias("context"))  # `limit` rows a query
